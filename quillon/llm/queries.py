@@ -87,10 +87,10 @@ def oracle_sql() -> dict[str, str]:
 
 OP4_SQL = """
 WITH kept AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS v
+  SELECT DISTINCT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x::DOUBLE)]) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, max(CAST(list_inner_product(q.v, c.v) AS BIGINT)) AS score
   FROM kept q JOIN kept c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
