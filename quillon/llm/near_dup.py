@@ -12,8 +12,9 @@ bands of 4 registers propose pairs; the joint maximum-likelihood estimate of
 the Jaccard similarity drops pairs far below the threshold; what is left is
 confirmed on the full sets. A bucket never emits all its pairs: first each
 member meets two leaders of its bucket; buckets that still hold several
-components are then cut into blocks, and each pair of blocks is worked in a task
-that returns only a spanning forest of confirmed links.
+components, taken together where they share members, are then cut into blocks,
+and each pair of blocks is worked in a task that returns only a spanning forest
+of confirmed links.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ from .words import MIX, Words, flat_text, mix, row_chunks, shingle_sets
 
 REGISTERS, BASE, RATE, TOP = 127, 1.001, 20.0, 65535
 BANDS, BAND_ROWS = 31, 4
-BLOCK = 256
+BLOCK = 1024
+#: Neighbourhoods of at most so many members are worked whole; a larger one bucket by bucket.
+NEIGHBOURHOOD = 8192
+#: Ids that a scan is filtered by through a broadcast (some 50 MB); more of them are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 #: Standard deviations by which an estimate may miss the threshold before its pair is dropped.
 SLACK = 6.0
 
@@ -167,7 +172,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(size)])
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array([value[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["rep", "elements"])
 
-    return docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(work, "rep long, elements binary")
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(work, "rep long, elements binary")
 
 
 def _forest(num: int, den: int):
@@ -236,25 +243,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     side = classes.select("rep", "n", "regs")
     pairs = met.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
     pairs = stored(_likely(pairs, num, den), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
     sets = stored(_sets(docs, wanted, shingle, lower), "sets")
     links = stored(_confirmed(pairs, sets, num, den), "links")
     labels = components(links)
 
     # Buckets in which two members that have not met may still be linked.
-    named = inside.where("many > 2").join(labels.toDF("rep", "label"), "rep", "left").select("bucket", "many", "rep", F.coalesce("label", "rep").alias("label"))
+    unmet = inside.where("many > 3 or (many = 3 and first = other)")
+    named = unmet.join(labels.toDF("rep", "label"), "rep", "left").select("bucket", "many", "first", "rep", F.coalesce("label", "rep").alias("label"))
     open_ = named.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("many").alias("many"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("l <> h")
     open_ = open_.groupBy("who", "many").agg(F.min("bucket").alias("bucket")).select("bucket")
     rest = stored(named.join(open_, "bucket"), "open")
     if not rest.isEmpty():
-        # A member whose every bucket-mate shares its label is gone by now; the others get their sets.
-        more = stored(_sets(docs, rest.select("rep").distinct(), shingle, lower).join(side, "rep"), "sets")
-        dealt = rest.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+        # Buckets that share members make a neighbourhood: worked as one, each member travels once instead of once a bucket.
+        around = components(rest.select(F.col("rep").alias("u"), F.col("first").alias("v")))
+        sizes = around.groupBy("component").agg(F.count("*").alias("size"))
+        placed = rest.join(around.toDF("rep", "component"), "rep").join(sizes, "component")
+        small = F.col("size") <= NEIGHBOURHOOD
+        placed = placed.select(small.alias("whole"), F.when(small, F.col("component")).otherwise(F.col("bucket")).alias("key"), F.when(small, F.col("size")).otherwise(F.col("many")).alias("many"), "rep", "label").distinct()
+        placed = stored(placed, "placed")
+        more = stored(_sets(docs, placed.select("rep").distinct(), shingle, lower).join(side, "rep"), "sets")
+        dealt = placed.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", "rep", "label", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
-        dealt = dealt.join(more, "rep").select("bucket", "low", "high", "block", "rep", "label", "regs", "elements")
-        found = dealt.groupBy("bucket", "low", "high").applyInArrow(_forest(num, den), "u long, v long")
+        dealt = dealt.select("whole", "key", "rep", "label", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
+        dealt = dealt.join(more, "rep").select("whole", "key", "low", "high", "block", "rep", "label", "regs", "elements")
+        found = dealt.groupBy("whole", "key", "low", "high").applyInArrow(_forest(num, den), "u long, v long")
         labels = components(links.unionByName(stored(found, "links")))
     named = classes.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
