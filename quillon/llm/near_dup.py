@@ -65,6 +65,9 @@ def sketch(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
 
 def estimate(above: np.ndarray, below: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from how many registers of A lie above and below B's, given both sizes."""
+    if len(na) > 4096:  # bounded memory
+        cut = range(4096, len(na), 4096)
+        return np.concatenate([estimate(*part) for part in zip(*(np.split(x, cut) for x in (above, below, na, nb)), strict=True)])
     grid = np.linspace(0, 1, 101)[None, :]
     u = (na / (na + nb))[:, None].astype(float)
     v = 1 - u
@@ -131,7 +134,7 @@ def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             ra, rb = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()]) for i in (4, 5))
             ok = estimate((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), na, nb) >= _far(num, den)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], names=["a", "b"]).filter(pa.array(ok))
@@ -186,7 +189,7 @@ def _forest(num: int, den: int):
         sets = [np.frombuffer(x, np.uint64) for x in table.column("elements").to_pylist()]
         size = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        above, below = (np.zeros((len(left), len(right)), np.int32) for _ in range(2))
+        above, below = (np.zeros((len(left), len(right)), np.int16) for _ in range(2))
         for j in range(REGISTERS):
             x, y = regs[left, j][:, None], regs[right, j][None, :]
             above += x > y
