@@ -189,7 +189,7 @@ def _drops(x: Node, in_article: bool) -> bool:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (host, path, kind, shown, n) of pages without an article: kind 0 counts texts, kind 1 child sequences."""
+    """Partial counts (host, path, kind, shown, n) of all nodes but those inside an article, which importance never removes: kind 0 counts texts, kind 1 child sequences."""
     counts: dict[tuple[str, str, int, bytes], int] = {}
 
     def flush() -> pa.RecordBatch:
@@ -201,11 +201,13 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             root = parse(page.as_py() or "")
-            if _article(root)[1]:
-                continue
+            tops, sure = _article(root)
+            kept = {id(t) for t in tops} if sure else set()
             host, todo = host_of(url), [root]
             while todo:
                 x = todo.pop()
+                if id(x) in kept:
+                    continue
                 kids = [i for i in x.items if not isinstance(i, str) and i.tag not in _SILENT]
                 todo += kids
                 if not x.path:
