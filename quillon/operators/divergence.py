@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillon.functions import distributions as D
 
@@ -45,7 +46,7 @@ def _density(x: np.ndarray, w: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.n
     return (np.exp(-z * z / 2) / (s * math.sqrt(2 * math.pi))) @ w
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def mixture_jsd(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """Jensen-Shannon divergence in nats of one-dimensional mixtures (weights, means, deviations, twice) by the midpoint rule on CELLS cells."""
     for cols in batches:
