@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch while an intermediate table is made: rows may hold whole sets or texts, and both sides keep a batch in memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -24,7 +27,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back, so a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
