@@ -4,7 +4,7 @@ Documents become token ids; what is longer than a sequence is cut into full
 sequences and one shorter first piece. How many pieces have each length is all
 the planner needs: at most `capacity` numbers, whatever the corpus.
 
-Planner: lengths over capacity / LARGE are sorted and cut into groups of equal
+Planner: large lengths are sorted and cut into groups of equal
 cardinality, each rounded up to its longest. A linear program over
 configurations of these few sizes (column generation; a knapsack prices) gives
 counts, rounded down. Actual lengths, shorter or equal, take the places, longest
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoder
 from .storage import stored
 
-LARGE, GROUPS, ROUNDS = 6, 32, 400
+#: (lengths over capacity / this are large, number of groups), and the free places of sequences that are packed anew.
+GROUPINGS, SLACKS, ROUNDS = ((6, 32), (3, 64), (3, 128)), (256, 64, 16, 4, 0, -1), 400
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -92,15 +93,18 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
     return [(p, int(n + 1e-9)) for p, n in zip(patterns, x, strict=True) if n >= 1]
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Classes of equal sequences: ([(length, how many in each)], number of sequences). Every piece is placed."""
+Classes = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def _grouped(counts: dict[int, int], capacity: int, share_of: int, groups: int) -> tuple[Classes, dict[int, int]]:
+    """Sequences from the configurations of lengths over capacity / share_of in `groups` groups, filled with actual lengths; and what is left over."""
     left = {s: n for s, n in counts.items() if n > 0}
-    large = sorted((s for s in left if s * LARGE > capacity), reverse=True)
+    large = sorted((s for s in left if s * share_of > capacity), reverse=True)
     total = sum(left[s] for s in large)
     runs: list[list[list[int]]] = []  # of each group: [length, how many], longest first
     sizes: list[int] = []
     if large:
-        share, room = -(-total // GROUPS), 0
+        share, room = -(-total // groups), 0
         for s in large:
             n = left.pop(s)
             while n:
@@ -115,7 +119,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
         for s, r in zip(sizes, runs, strict=True):
             merged.setdefault(s, []).extend(r)
         sizes, runs = list(merged), list(merged.values())
-    classes: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    classes: Classes = []
     for pattern, n in _configurations(sizes, [sum(k for _, k in r) for r in runs], capacity) if sizes else []:
         slots = [g for g, k in enumerate(pattern) for _ in range(k)]
         supply = [sum(k for _, k in runs[g]) // pattern[g] for g in set(slots)]
@@ -147,6 +151,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
     for r in runs:
         for s, k in r:
             left[s] = left.get(s, 0) + k
+    return classes, left
+
+
+def _best_fit(classes: Classes, left: dict[int, int], capacity: int) -> Classes:
+    """Puts what is left, longest first, where it fits best."""
     rooms: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
     for held, n in classes:
         rooms.setdefault(capacity - sum(s * k for s, k in held), []).append((held, n))
@@ -176,10 +185,38 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, in
                         rooms[free] = []
                         order.insert(int(np.searchsorted(order, free)) if order else 0, free)
                     rooms[free].append((new, many))
-    return [(list(held), n) for group in rooms.values() for held, n in group]
+    return [(held, n) for group in rooms.values() for held, n in group]
+
+
+def _repacked(classes: Classes, capacity: int, slack: int) -> Classes:
+    """Takes sequences with more than `slack` free places apart and fits their pieces anew."""
+    kept, left = [], {}
+    for held, n in classes:
+        if capacity - sum(s * k for s, k in held) <= slack:
+            kept.append((held, n))
+            continue
+        for s, k in held:
+            left[s] = left.get(s, 0) + k * n
+    return _best_fit(kept, left, capacity)
+
+
+def plan(counts: dict[int, int], capacity: int) -> Classes:
+    """Classes of equal sequences: ((length, how many in each), ...) and the number of sequences. Every piece is placed.
+
+    Several groupings are tried; of each result, sequences that stayed loose are
+    packed anew as long as that saves some. The fewest sequences win.
+    """
+    size = lambda classes: sum(n for _, n in classes)
+    best: Classes | None = None
+    for share_of, groups in GROUPINGS:
+        now = _best_fit(*_grouped(counts, capacity, share_of, groups), capacity)
+        for slack in SLACKS:
+            now = min(now, _repacked(now, capacity, slack), key=size)
+        best = now if best is None else min(best, now, key=size)
+    return best or []
 
 
-def _places(classes: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.ndarray]:
+def _places(classes: Classes) -> dict[int, np.ndarray]:
     """length -> rows (first rank, how many in each sequence, first sequence, offset), by first rank."""
     ranks: dict[int, int] = {}
     rows: dict[int, list[tuple[int, int, int, int]]] = {}
