@@ -24,16 +24,25 @@ def hist_divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolera
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance)
 
 
-def verdict(g: Column, h: Column, tolerance: float) -> Column:
-    """'dim', 'mean' or 'far' if cheap sound bounds reject the pair, else null: the divergence must be computed.
+def _split(g: Column, h: Column) -> Column:
+    """What the cheap verdict needs: 'dim' or 'mean' if a sound bound rejects the pair, else null, and the divergence must be computed.
 
     By data processing, the divergence of the two-way split at the midpoint of
     the means bounds the full one from below; the mean verdict is that bound.
     """
     mid = (D.mean(g)[0] + D.mean(h)[0]) / 2
-    p, q = D.cdf(g, mid), D.cdf(h, mid)
-    split = D.weights_jsd(F.array(p, 1 - p), F.array(q, 1 - q))
-    return F.when(g["d"] != h["d"], "dim").when((g["d"] == 1) & (split > tolerance + 1e-6), "mean")
+    return F.struct(D.cdf(g, mid).alias("p"), D.cdf(h, mid).alias("q"), (g["d"] == h["d"]).alias("fits"), ((g["d"] == 1) & (h["d"] == 1)).alias("flat"))
+
+
+def _decided(split: Column, tolerance: float) -> Column:
+    def part(a: Column, b: Column) -> Column:
+        m = (a + b) / 2
+        term = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
+        return (term(a) + term(b)) / 2
+
+    p, q = split["p"], split["q"]
+    bound = part(p, q) + part(1 - p, 1 - q)
+    return F.when(~split["fits"], "dim").when(split["flat"] & (bound > tolerance + 1e-6), "mean")
 
 
 def _parameters(name: str) -> list[Column]:
@@ -71,7 +80,7 @@ def divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance:
         tolerance = min(max(tolerance, -1.0), math.log(2))
     pairs = left.join(right, keys, "inner") if keys else left.crossJoin(right)
     seen = Observation()
-    told = pairs.withColumn("__v", verdict(F.col(lvar), F.col(rvar), tolerance))
+    told = pairs.withColumn("__s", _split(F.col(lvar), F.col(rvar))).withColumn("__v", _decided(F.col("__s"), tolerance)).drop("__s")
     told = told.observe(seen, F.count("*").alias("totalPairs"), F.count_if(F.col("__v") == "dim").alias("prunedDim"), F.count_if(F.col("__v") == "mean").alias("prunedMean"), F.count_if(F.col("__v").isNull()).alias("fullJSD"))
     rated = told.where("__v is null").drop("__v").withColumn("jsd", mixture_jsd(*_parameters(lvar), *_parameters(rvar)))
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance), seen
