@@ -116,10 +116,10 @@ def hist_divjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gauss_divjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of one modulus class whose value distributions are alike; the pruning cascade decides first."""
+    """All pairs of users whose value distributions are alike; interval cells and the pruning cascade decide first."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("*").alias("n")).where("n > 1 and s > 0")
-    side = users.select((F.col("user_id") % 50).alias("k"), "user_id", D.gaussian(F.col("m"), F.col("s")).alias("g"))
-    pairs, _ = divjoin(side.toDF("k", "u", "gu"), side.toDF("k", "v", "gv"), "gu", "gv", 0.05, keys=["k"])
+    side = users.select("user_id", D.gaussian(F.col("m"), F.col("s")).alias("g"))
+    pairs, _ = divjoin(side.toDF("u", "gu"), side.toDF("v", "gv"), "gu", "gv", 0.002)
     return pairs.where("u < v").select("u", "v", F.round("jsd", 4).alias("jsd"))
 
 
