@@ -10,11 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillon.functions import distributions as D
 
 REACH, SAMPLES, SEED = 8, 10_000, 20_240
+#: Left rows of a grid cell that are met in one task.
+BLOCK = 512
 NODES = np.polynomial.legendre.leggauss(8)
 
 
@@ -26,25 +28,36 @@ def hist_divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolera
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance)
 
 
-def _split(g: Column, h: Column) -> Column:
-    """What the cheap verdict needs: 'dim' or 'mean' if a sound bound rejects the pair, else null, and the divergence must be computed.
+def _below(x: np.ndarray, w: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Mixture distribution function: rows of x against rows of w, m, s."""
+    p, a1, a2, a3, a4, a5 = D.ERF
+    z = (x[:, :, None] - m[:, None, :]) / s[:, None, :]
+    t = 1 / (1 + p * np.abs(z) / math.sqrt(2))
+    tail = ((((a5 * t + a4) * t + a3) * t + a2) * t + a1) * t * np.exp(-z * z / 2)
+    return (np.where(z >= 0, 1 - tail / 2, tail / 2) * w[:, None, :]).sum(2)
 
-    By data processing, the divergence of the two-way split at the midpoint of
-    the means bounds the full one from below; the mean verdict is that bound.
-    """
-    mid = (D.mean(g)[0] + D.mean(h)[0]) / 2
-    return F.struct(D.cdf(g, mid).alias("p"), D.cdf(h, mid).alias("q"), (g["d"] == h["d"]).alias("fits"), ((g["d"] == 1) & (h["d"] == 1)).alias("flat"))
+
+def _term(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What cells of masses p and q add to the divergence."""
+    p, q = np.maximum(p, 0), np.maximum(q, 0)
+    mid = np.maximum((p + q) / 2, 1e-300)
+    return (p * np.log(np.maximum(p, 1e-300) / mid) + q * np.log(np.maximum(q, 1e-300) / mid)) / 2
 
 
-def _decided(split: Column, tolerance: float) -> Column:
-    def part(a: Column, b: Column) -> Column:
-        m = (a + b) / 2
-        term = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
-        return (term(a) + term(b)) / 2
+def _verdicts(w, m, s, x, n, t, tolerance: float) -> np.ndarray:
+    """1 or 2 where a sound bound rejects the pair, else 0.
 
-    p, q = split["p"], split["q"]
-    bound = part(p, q) + part(1 - p, 1 - q)
-    return F.when(~split["fits"], "dim").when(split["flat"] & (bound > tolerance + 1e-6), "mean")
+    By data processing, the divergence of the masses between cuts bounds the
+    full one from below: 1 (mean) for the cut at the middle of the means, 2
+    (variance) for three cuts a mean deviation apart.
+    """
+    c, d = (w * m).sum(1), (x * n).sum(1)
+    step = np.sqrt(np.maximum((w * (s * s + m * m)).sum(1) - c * c, 0)) + np.sqrt(np.maximum((x * (t * t + n * n)).sum(1) - d * d, 0))
+    cuts = ((c + d) / 2)[:, None] + np.array([-0.5, 0.0, 0.5]) * step[:, None]
+    p, q = _below(cuts, w, m, s), _below(cuts, x, n, t)
+    mean = _term(p[:, 1], q[:, 1]) + _term(1 - p[:, 1], 1 - q[:, 1])
+    ends = lambda v: np.diff(v, axis=1, prepend=0.0, append=1.0)
+    return np.where(mean > tolerance + 1e-5, 1, np.where(_term(ends(p), ends(q)).sum(1) > tolerance + 1e-5, 2, 0))
 
 
 def _total_variation(divergence: float) -> float:
@@ -102,11 +115,19 @@ def near_pairs(left: DataFrame, right: DataFrame, lvar: str, rvar: str, toleranc
     levels = sorted(r["__level"] for r in a.select("__level").unionByName(b.select("__level")).distinct().collect())
     if not levels:
         levels = [0]
-    there = _dealt(b, levels, "right").withColumnsRenamed({"__lo": "__lo2", "__hi": "__hi2"})
-    met = _dealt(a, levels, "left").join(there, [*(keys or []), "__role", "__at", "__cell"])
+    names = [*(keys or []), "__role", "__at", "__cell"]
+    ours, there = _dealt(a, levels, "left"), _dealt(b, levels, "right").withColumnsRenamed({"__lo": "__lo2", "__hi": "__hi2"})
+    # Crowded cells are met in blocks of left rows, each with all right rows of the cell, so that no cell is one task.
+    plain = [F.col(f"`{n}`") for n, t in left.dtypes if "map<" not in t]
+    blocks = ours.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    ours = ours.join(blocks, names).withColumn("__block", F.pmod(F.xxhash64(*plain), F.col("__blocks")).cast("int")).drop("__blocks")
+    there = there.join(blocks, names).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    names.append("__block")
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = ours.repartition(parts, *names).join(there.repartition(parts, *names), names)
     begin = F.greatest("__lo", "__lo2")
     once = (begin <= F.least("__hi", "__hi2")) & (_cell(begin, F.col("__at")) == F.col("__cell"))
-    return met.where(once).drop("__lo", "__hi", "__lo2", "__hi2", "__at", "__role", "__cell")
+    return met.where(once).drop("__lo", "__hi", "__lo2", "__hi2", "__at", "__role", "__cell", "__block")
 
 
 def _parameters(name: str) -> list[Column]:
@@ -114,20 +135,18 @@ def _parameters(name: str) -> list[Column]:
     return [g["weights"], F.flatten(g["means"]), F.when(g["d"] == 1, F.transform(g["covs"], lambda c: F.sqrt(c[0][0]))).otherwise(F.flatten(F.flatten(g["covs"])))]
 
 
-def _density(x: np.ndarray, w: np.ndarray, m: np.ndarray, s: np.ndarray) -> np.ndarray:
-    z = (x[:, None] - m) / s
-    return (np.exp(-z * z / 2) / (s * math.sqrt(2 * math.pi))) @ w
-
-
-def _flat_jsd(w, m, s, x, n, t) -> float:
-    """Gauss-Legendre quadrature on panels that end at whole deviations of every component, so that narrow components beside wide ones count in full."""
-    ends = np.unique(np.concatenate([c + k * v for c, v in ((m, s), (n, t)) for k in range(-REACH, REACH + 1)]))
-    half = np.diff(ends)[:, None] / 2
-    at, weight = (ends[:-1, None] + half + half * NODES[0]).ravel(), (half * NODES[1]).ravel()
-    p, q = _density(at, w, m, s), _density(at, x, n, t)
-    mid = np.maximum((p + q) / 2, 1e-300)
-    term = np.where(p > 0, p * np.log(np.maximum(p, 1e-300) / mid), 0) + np.where(q > 0, q * np.log(np.maximum(q, 1e-300) / mid), 0)
-    return float((term * weight).sum() / 2)
+def _flat_jsd(w, m, s, x, n, t) -> np.ndarray:
+    """Gauss-Legendre quadrature, row by row, on panels that end at whole deviations of every component, so that narrow components beside wide ones count in full."""
+    both, dev = np.concatenate([m, n], 1), np.concatenate([s, t], 1)
+    ends = np.sort((both[:, :, None] + np.arange(-REACH, REACH + 1) * dev[:, :, None]).reshape(len(m), -1), 1)
+    half = np.diff(ends, axis=1)[:, :, None] / 2
+    at = (ends[:, :-1, None] + half + half * NODES[0]).reshape(len(m), -1)
+    p, q = np.zeros_like(at), np.zeros_like(at)
+    for out, *side in ((p, w, m, s), (q, x, n, t)):
+        for a, b, c in zip(*(v.T for v in side), strict=True):
+            z = (at - b[:, None]) / c[:, None]
+            out += np.exp(-z * z / 2) * (a / (c * math.sqrt(2 * math.pi)))[:, None]
+    return (_term(p, q) * (half * NODES[1]).reshape(len(m), -1)).sum(1)
 
 
 def _log_density(at: np.ndarray, w, m, roots) -> np.ndarray:
@@ -157,30 +176,54 @@ def _sampled_jsd(w, m, c, x, n, u) -> float | None:
     return min(max(total, 0.0), math.log(2))
 
 
-@F.pandas_udf(DoubleType())
-def mixture_jsd(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Jensen-Shannon divergence in nats of mixtures (weights, flat means, deviations or flat covariances, twice): in one dimension by quadrature, in more from seeded draws. Null for null parts or sides of different dimension."""
-    for cols in batches:
-        out = []
-        for row in zip(*cols, strict=True):
-            if any(v is None for v in row):
-                out.append(None)
-                continue
-            w, m, s, x, n, t = parts = [np.asarray(v, float) for v in row]
-            if len(m) * len(x) != len(n) * len(w):
-                out.append(None)
-            else:
-                out.append(_flat_jsd(*parts) if len(m) == len(w) else _sampled_jsd(*parts))
-        yield pd.Series(out, dtype="float64")
+def _rated(rows: list[tuple[np.ndarray, ...]], tolerance: float) -> list[tuple[str | None, float | None]]:
+    """(what rejected the pair, divergence) of pairs of one-dimensional mixtures that have equal numbers of components."""
+    parts = [np.stack(v) for v in zip(*rows, strict=True)]
+    told = _verdicts(*parts, tolerance)
+    jsd = np.full(len(rows), np.nan)
+    step = max(1, 250_000 // (parts[0].shape[1] + parts[3].shape[1]) // (2 * REACH * 8))
+    left = np.flatnonzero(told == 0)
+    for at in (left[i : i + step] for i in range(0, len(left), step)):
+        jsd[at] = _flat_jsd(*(v[at] for v in parts))
+    return [(("mean", "variance")[v - 1], None) if v else (None, float(j)) for v, j in zip(told, jsd, strict=True)]
+
+
+def rating(tolerance: float):
+    """Pandas UDF of weights, flat means and deviations or flat covariances of two mixtures: the bound that rejects the pair at this tolerance, else the divergence in nats, by quadrature in one dimension, from seeded draws in more. Sides of different dimension are rejected; null parts and deviations of zero give null."""
+
+    @F.pandas_udf(StructType([StructField("pruned", StringType()), StructField("jsd", DoubleType())]))
+    def rate(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            out: list[tuple[str | None, float | None]] = [(None, None)] * len(cols[0])
+            alike: dict[tuple[int, int], list[tuple[int, tuple]]] = {}
+            for i, row in enumerate(zip(*cols, strict=True)):
+                if any(v is None for v in row):
+                    continue
+                w, m, s, x, n, t = parts = tuple(np.asarray(v, float) for v in row)
+                if len(m) * len(x) != len(n) * len(w):
+                    out[i] = ("dim", None)
+                elif len(m) > len(w):
+                    out[i] = (None, _sampled_jsd(*parts))
+                elif (s > 0).all() and (t > 0).all():
+                    alike.setdefault((len(w), len(x)), []).append((i, parts))
+            for found in alike.values():
+                for (i, _), told in zip(found, _rated([p for _, p in found], tolerance), strict=True):
+                    out[i] = told
+            yield pd.DataFrame(out, columns=["pruned", "jsd"])
+
+    return rate
 
 
 def divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance: float, strict: bool = False, keys: list[str] | None = None) -> tuple[DataFrame, Observation]:
     """Pairs of mixtures whose Jensen-Shannon divergence is at most `tolerance`; shared `keys` make it an equi-join on those. Overlap of central intervals selects the pairs that meet at all, then cheap bounds decide; the observation counts the pairs that met by what decided them (pairs that never met are pruned by the mean bound)."""
-    pairs = near_pairs(left, right, lvar, rvar, tolerance, keys)
+    sides = [side.select("*", *[c.alias(f"__{tag}{i}") for i, c in enumerate(_parameters(var))]) for side, var, tag in ((left, lvar, "p"), (right, rvar, "q"))]
+    pairs = near_pairs(*sides, lvar, rvar, tolerance, keys)
+    parts = [f"__{tag}{i}" for tag in "pq" for i in range(3)]
     seen = Observation()
-    told = pairs.withColumn("__s", _split(F.col(lvar), F.col(rvar))).withColumn("__v", _decided(F.col("__s"), tolerance)).drop("__s")
-    told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(F.col("__v") == "dim").alias("prunedDim"), F.count_if(F.col("__v") == "mean").alias("prunedMean"), F.count_if(F.col("__v").isNull()).alias("fullJSD"))
-    rated = told.where("__v is null").drop("__v").withColumn("jsd", mixture_jsd(*_parameters(lvar), *_parameters(rvar)))
+    told = pairs.withColumn("__v", rating(tolerance)(*parts))
+    cut = F.col("__v.pruned")
+    told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(cut == "dim").alias("prunedDim"), F.count_if(cut == "mean").alias("prunedMean"), F.count_if(cut == "variance").alias("prunedVariance"), F.count_if(cut.isNull()).alias("fullJSD"))
+    rated = told.withColumn("jsd", F.col("__v.jsd")).drop("__v", *parts)
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance), seen
 
 

@@ -33,7 +33,12 @@ def _mixtures(n, seed):
 
 
 def _exact(a, b):
-    return V._flat_jsd(*(np.array(x, float) for x in (*zip(*a, strict=True), *zip(*b, strict=True))))
+    return float(V._flat_jsd(*(np.array([x], float) for x in (*zip(*a, strict=True), *zip(*b, strict=True))))[0])
+
+
+def _density(x, w, m, s):
+    z = (x[:, None] - m) / s
+    return (np.exp(-z * z / 2) / (s * math.sqrt(2 * math.pi))) @ w
 
 
 @pytest.mark.parametrize("tolerance", [0.0, 0.02, 0.3, 0.65])
@@ -45,10 +50,18 @@ def test_divjoin_finds_all_pairs(spark, tolerance):
     got = sorted((r.u, r.v) for r in pairs.select("u", "v").collect())
     want = sorted((i, j) for (i, x), (j, y) in itertools.product(enumerate(a), enumerate(b)) if _exact(x, y) <= tolerance)
     assert got == want
-    assert seen.get["metPairs"] == seen.get["prunedDim"] + seen.get["prunedMean"] + seen.get["fullJSD"] and 0 <= V.pruning_rate(seen.get, 60, 55) <= 1
+    assert seen.get["metPairs"] == seen.get["prunedDim"] + seen.get["prunedMean"] + seen.get["prunedVariance"] + seen.get["fullJSD"] and 0 <= V.pruning_rate(seen.get, 60, 55) <= 1
     assert "NestedLoop" not in pairs._jdf.queryExecution().toString() and "Cartesian" not in pairs._jdf.queryExecution().toString()
 
 
+def test_crowded_cells_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 3)
+    a = [[(1.0, 0.0, 1.0)]] * 20 + _mixtures(10, 5)
+    rows = [(i, 0, _text(x)) for i, x in enumerate(a)]
+    pairs, _ = V.divjoin(_side(spark, rows, "u", "x").drop("k"), _side(spark, rows, "v", "y").drop("k"), "x", "y", 0.1)
+    assert sorted((r.u, r.v) for r in pairs.collect()) == sorted((i, j) for i, j in itertools.product(range(30), repeat=2) if _exact(a[i], a[j]) <= 0.1)
+
+
 def test_divjoin_keys_and_empty(spark):
     a = _mixtures(40, 3)
     rows = [(i, i % 3, _text(x)) for i, x in enumerate(a)]
@@ -77,7 +90,7 @@ def test_quadrature_resolves_scales(spark):
     """A narrow beside a wide component: against a fine sum, and the native expression against the kernel."""
     a, b = [(0.5, 1.0, 0.01), (0.5, 3.0, 20.0)], [(1.0, 2.0, 25.0)]
     at = np.unique(np.concatenate([np.linspace(-250, 250, 400_001), np.linspace(0.9, 1.1, 100_001)]))
-    p, q = (V._density(at, *(np.array(x, float) for x in zip(*m, strict=True))) for m in (a, b))
+    p, q = (_density(at, *(np.array(x, float) for x in zip(*m, strict=True))) for m in (a, b))
     want = np.trapezoid((np.where(p > 0, p * np.log(np.maximum(p, 1e-300) * 2 / (p + q + 1e-300)), 0) + np.where(q > 0, q * np.log(np.maximum(q, 1e-300) * 2 / (p + q + 1e-300)), 0)) / 2, at)
     assert math.isclose(_exact(a, b), want, abs_tol=1e-5)
     df = spark.createDataFrame([(_text(a), _text(b))], "a string, b string").select(D.jsd(D.parse_gmm(F.col("a")), D.parse_gmm(F.col("b"))).alias("j"))
