@@ -123,6 +123,28 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int) -
     return ranked.where(F.col("__n") <= n).drop("__n")
 
 
+def repeated(edges: DataFrame, least: int, most: int | None) -> DataFrame:
+    """(s, o): ends of paths of `least` to `most` edges (None: any number), one row per path for a fixed number of edges up to which the joins are written out, each pair once where the number is open."""
+    def step(paths: DataFrame) -> DataFrame:
+        return paths.select("s", F.col("o").alias("m")).join(edges.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+
+    nodes = edges.select("s").unionByName(edges.select(F.col("o").alias("s"))).distinct()
+    at = nodes.select("s", F.col("s").alias("o"))
+    found = [at] if least == 0 else []
+    for n in range(1, (least if most is None else most) + 1):
+        at = edges.select("s", "o") if n == 1 else step(at)
+        if n >= least:
+            found.append(at)
+    if most is None:
+        longer = closure(edges)
+        far = longer if least == 0 else at.select("s", F.col("o").alias("m")).join(longer.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        found.append(far)
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.distinct() if most is None else out
+
+
 def closure(edges: DataFrame, reflexive: bool = False, rounds: int = 64) -> DataFrame:
     """(s, o): all pairs joined by a path of one edge or more (of any length, if reflexive). Safe on cycles.
 

@@ -84,7 +84,7 @@ class Translator:
         found: dict[str, Column] = {}
 
         def lifted(e):
-            if isinstance(e, tuple) and e and e[0] == "call" and e[1] in AGGREGATES:
+            if isinstance(e, tuple) and _aggregates(e):
                 key = repr(e)
                 name = next((n for n, (k, _) in named.items() if k == key), None) or self.name()
                 if name not in named:
@@ -293,7 +293,19 @@ class Translator:
             return a.select("s", F.col("o").alias("m")).join(b.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
         if kind == "alt":
             return self.path(p[1]).unionByName(self.path(p[2]))
+        if kind == "not":
+            forward, backward = ([x[1] for x in p[1] if x[0] == "iri"], [x[1][1] for x in p[1] if x[0] == "inv"])
+            parts = [self.source.other_edges(forward)] if forward or not backward else []
+            if backward:
+                parts.append(self.source.other_edges(backward).select(F.col("o").alias("s"), F.col("s").alias("o")))
+            return reduce(DataFrame.unionByName, parts)
+        if kind == "multi":
+            return self.path(p[1])
+        if kind in ("distinct", "shortest"):  # both leave each pair of ends once
+            return self.path(p[1]).distinct()
         edges = self.path(p[1])
+        if kind == "times":
+            return A.repeated(edges, p[2], p[3])
         if kind == "plus":
             return A.closure(edges)
         if kind == "star":
@@ -320,7 +332,9 @@ class Translator:
             a, b = args
             return {"||": lambda: a | b, "&&": lambda: a & b, "=": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, ">": lambda: a > b, "<=": lambda: a <= b, ">=": lambda: a >= b, "+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b)}[symbol]()
         if kind == "call":
-            function = BUILTINS.get(e[1]) or BUILTINS.get(e[1].lower())
+            if e[1].lower() == "call" and e[2] and e[2][0][0] in ("iri", "lit"):  # a function named by a constant
+                return self.value(("call", str(e[2][0][1]).rsplit("#", 1)[-1].rsplit("/", 1)[-1], e[2][1:], False, {}), rows)
+            function = BUILTINS.get(f"{e[4].get('prefix', '')}:{e[1]}".lower()) or BUILTINS.get(e[1]) or BUILTINS.get(e[1].lower())
             if function is None:
                 raise ValueError(f"unknown function {e[1]}")
             return function(*[self.value(a, rows) for a in e[2]])
@@ -334,8 +348,13 @@ def _mode(x: Column) -> Column:
     return F.array_max(rated)["v"]
 
 
+def _aggregates(e: tuple) -> bool:
+    """Whether e is an aggregate; a function of a library may share its name."""
+    return bool(e) and e[0] == "call" and e[1] in AGGREGATES and e[4].get("prefix", "agg") in ("", "agg")
+
+
 def _has_aggregate(e) -> bool:
-    return isinstance(e, tuple) and bool(e) and ((e[0] == "call" and e[1] in AGGREGATES) or any(_has_aggregate(y) for x in e for y in (x if isinstance(x, list) else [x])))
+    return isinstance(e, tuple) and bool(e) and (_aggregates(e) or any(_has_aggregate(y) for x in e for y in (x if isinstance(x, list) else [x])))
 
 
 def _variables(e) -> set[str]:

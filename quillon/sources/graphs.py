@@ -79,6 +79,10 @@ class Quads:
     def edges(self, predicate: str) -> DataFrame:
         return self._rows().where(F.col("p") == predicate).select("s", "o")
 
+    def other_edges(self, predicates: list[str]) -> DataFrame:
+        """Edges of any predicate but these."""
+        return self._rows().where(~F.col("p").isin(predicates) if predicates else F.lit(True)).select("s", "o")
+
     def _rows(self) -> DataFrame:
         return self.df.where(F.col("g").isNull() if self.graph is None else F.col("g") == self.graph)
 
