@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import distributions as D
+from . import spatial
 
 _str = lambda c: c.cast("string")
 
@@ -165,6 +166,7 @@ BUILTINS |= {
     "sample": sample, "jsdmode": _divergence_by, "divergencetest": lambda g, h, eps, alpha=None: D.jsd(g, h) <= eps,
 }
 BUILTINS["uri"] = BUILTINS["iri"]
+BUILTINS |= spatial.FUNCTIONS
 
 
 def register(name: str, function: Callable[..., Column]) -> None:

@@ -52,6 +52,8 @@ TEXT: dict[str, tuple[str, str]] = {
     "regex_filter": ("SELECT ?p ?n WHERE { ?p a :part ; :p_type ?n FILTER(REGEX(?n, '^[a-s].*', 'i') && ?n NOT IN ('x')) }", "SELECT p_partkey AS p, p_type AS n FROM part WHERE regexp_matches(p_type, '^[a-s].*', 'i')"),
     "unfold_list": ("SELECT ?n ?part ?at WHERE { ?x a :region ; :r_regionkey ?n UNFOLD(LIST(?n, ?n + 10) AS ?part, ?at) }", "SELECT r_regionkey AS n, r_regionkey AS part, CAST(1 AS BIGINT) AS at FROM region UNION ALL SELECT r_regionkey, r_regionkey + 10, 2 FROM region"),
     "path_plus": ("SELECT ?a ?b WHERE { ?a :next+ ?b }", "WITH RECURSIVE e AS (SELECT n_nationkey AS s, n_regionkey AS o FROM nation), c AS (SELECT s, o FROM e UNION SELECT c.s, e.o FROM c JOIN e ON c.o = e.s) SELECT s AS a, o AS b FROM c"),
+    "path_alternative_distinct": ("SELECT ?a ?b WHERE { ?a DISTINCT(:c_nationkey|:s_nationkey) ?b }", "SELECT c_custkey AS a, c_nationkey AS b FROM customer UNION SELECT s_suppkey, s_nationkey FROM supplier"),
+    "library_functions": ("SELECT ?c (fn:normalize-space(?n) AS ?norm) (afn:substr(?n, 2, 6) AS ?cut) (op:numeric-mod(?k, 7) AS ?rest) (IDIV(?k, 7) AS ?whole) (lfn:pythagoras(?k, 4) AS ?hyp) (fn:round-half-to-even(?b) AS ?even) (fn:boolean(?k) AS ?truth) WHERE { ?c a :customer ; :c_name ?n ; :c_nationkey ?k ; :c_acctbal ?b }", "SELECT c_custkey AS c, trim(regexp_replace(c_name, '\\s+', ' ', 'g')) AS norm, substr(c_name, 3, 4) AS cut, c_nationkey % 7 AS rest, CAST(c_nationkey // 7 AS BIGINT) AS whole, sqrt(c_nationkey * c_nationkey + 16.0) AS hyp, round_even(c_acctbal, 0) AS even, c_nationkey <> 0 AS truth FROM customer"),
     "path_sequence": ("SELECT ?c ?r WHERE { ?c :c_nationkey/:n_regionkey ?r }", "SELECT c_custkey AS c, n_regionkey AS r FROM customer JOIN nation ON c_nationkey=n_nationkey"),
     "gauss_threshold": ("SELECT ?u ?p WHERE { { SELECT ?u (AVG(?v) AS ?m) (STDEV(?v) AS ?s) WHERE { ?e a :events ; :user_id ?u ; :value ?v } GROUP BY ?u HAVING (COUNT(*) > 1) } BIND(prob:cdf(GAUSSIAN(?m, ?s), 120.0) AS ?p0) BIND(ROUND(?p0 * 10000) / 10000 AS ?p) FILTER(?p >= 0.9) }", f"SELECT u, floor({_phi('(120.0-m)/s')} * 10000 + 0.5) / 10000 AS p FROM (SELECT user_id AS u, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1 HAVING count(*) > 1) WHERE floor({_phi('(120.0-m)/s')} * 10000 + 0.5) / 10000 >= 0.9"),
 }
@@ -129,6 +131,58 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour")
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples s, p, o: customers in nations, nations in regions."""
+    read = lambda t, a, s, b, o: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.concat(F.lit(a), F.col(s)).alias("s"), F.concat(F.lit(b), F.col(o)).alias("o"))
+    return read("customer", "c", "c_custkey", "n", "c_nationkey").withColumn("p", F.lit("in")).unionByName(read("nation", "n", "n_nationkey", "r", "n_regionkey").withColumn("p", F.lit("of"))).select("s", "p", "o")
+
+
+def rdfs_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as instances of their nation, nations as sub-classes of their region: all types of each customer."""
+    from quillon.operators.inference import SUB_CLASS, TYPE, rdfs
+
+    triples = _places(spark, sf_dir).withColumn("p", F.when(F.col("p") == "in", TYPE).otherwise(SUB_CLASS))
+    return rdfs(triples).where(F.col("p") == TYPE).select("s", "o")
+
+
+def forward_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.operators.inference import forward
+
+    return forward(_places(spark, sf_dir), ["[(?c in ?n) (?n of ?r) -> (?c within ?r)]"]).where("p = 'within'").select("s", "o")
+
+
+def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose balance is negative."""
+    from quillon.operators.shapes import Shape, validate
+
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("s"), F.lit("balance").alias("p"), F.col("c_acctbal").cast("string").alias("o"))
+    return validate(rows, [Shape("balance", {"minInclusive": 0, "maxCount": 1}, subjects_of="balance")]).select("focus", "constraint")
+
+
+def update_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of nation 3 move to a graph of their own."""
+    from quillon.plans.update import update
+    from quillon.sources.graphs import Quads
+
+    source = Quads(_places(spark, sf_dir).where("p = 'in'").withColumn("g", F.lit(None).cast("string")))
+    return update(source, "DELETE { ?c <in> 'n3' } INSERT { GRAPH <moved> { ?c <in> 'n3' } } WHERE { ?c <in> 'n3' }").df.select("g", "s", "p", "o")
+
+
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a word that begins with `licen`, without the word `mit`."""
+    from quillon.operators.text import text_query
+
+    return text_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "licen* -mit").select("doc_id")
+
+
+def spatial_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, placed by their numbers, within 3000 km of 10 N 20 E."""
+    from quillon.functions.spatial import nearby
+
+    places = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 170 - 85.0).alias("lat"), (F.col("c_custkey") * 7 % 360 - 180.0).alias("lon"))
+    return nearby(places, (10.0, 20.0), 3000.0, "kilometre").select("c_custkey", F.round("distance", 3).alias("km"))
+
+
 _STATS = "WITH g AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1)"
 _CELLS = ", ".join(f"sum(CASE WHEN l_extendedprice >= {a} AND l_extendedprice < {b} THEN 1.0 ELSE 0.0 END)::DOUBLE AS w{i}" for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
 _HIST = f"WITH h AS (SELECT l_returnflag, l_linestatus, {_CELLS} FROM lineitem GROUP BY 1, 2), t AS (SELECT *, w0+w1+w2+w3+w4 AS n FROM h)"
@@ -147,6 +201,12 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "hist_summary": (hist_summary, _HIST + " SELECT l_returnflag, l_linestatus, round((w0*10000+w1*30000+w2*50000+w3*70000+w4*100000)/n,4) AS mean, round((w0+w1+w2*0.5)/n,6) AS cdf FROM t"),
     "hist_divjoin": (hist_divjoin, _HIST + f" SELECT x.l_returnflag||x.l_linestatus AS a, y.l_returnflag||y.l_linestatus AS b, round({_JSD},7) AS jsd FROM t x JOIN t y ON x.l_returnflag||x.l_linestatus < y.l_returnflag||y.l_linestatus WHERE {_JSD} <= 0.0005"),
     "gauss_divjoin": (gauss_divjoin, None),
+    "rdfs_types": (rdfs_types, "SELECT 'c' || c_custkey AS s, 'n' || c_nationkey AS o FROM customer UNION SELECT 'c' || c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "forward_rules": (forward_rules, "SELECT 'c' || c_custkey AS s, 'r' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "shape_violations": (shape_violations, "SELECT 'c' || c_custkey AS focus, 'minInclusive' AS \"constraint\" FROM customer WHERE c_acctbal < 0"),
+    "update_request": (update_request, "SELECT CASE WHEN c_nationkey = 3 THEN 'moved' END AS g, 'c' || c_custkey AS s, 'in' AS p, 'n' || c_nationkey AS o FROM customer"),
+    "text_search": (text_search, r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\p{L}\p{N}])licen') AND NOT regexp_matches(lower(text), '(^|[^\p{L}\p{N}])mit($|[^\p{L}\p{N}])')"),
+    "spatial_nearby": (spatial_nearby, "SELECT c_custkey, round(km, 3) AS km FROM (SELECT c_custkey, 2*6371.0088*asin(least(1.0, sqrt(power(sin(radians(10-lat)/2),2) + cos(radians(lat))*cos(radians(10.0))*power(sin(radians(20-lon)/2),2)))) AS km FROM (SELECT c_custkey, c_custkey % 170 - 85.0 AS lat, c_custkey * 7 % 360 - 180.0 AS lon FROM customer)) WHERE km <= 3000"),
     "event_windows": (event_windows, "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"),
 }
 
