@@ -66,3 +66,20 @@ def test_shapes(spark):
     assert found(None, xone=[adult, named]) == [("a", "http://a"), ("b", "http://b")]
     assert found("knows", qualified=(named, 1, None)) == [("a", None)]
     assert validate(df.limit(0), [Shape("age", {"minCount": 1}, target_class="P")]).count() == 0
+
+
+def test_lists(spark):
+    import pytest
+
+    from quillon.operators.lists import FIRST, NIL, REST, list_lengths, list_members
+
+    rows = []
+    for name, members in (("a", "xyzxw"), ("b", "q")):
+        for i, m in enumerate(members):
+            rows += [(f"{name}{i}", FIRST, m), (f"{name}{i}", REST, f"{name}{i + 1}" if i + 1 < len(members) else NIL)]
+    df = spark.createDataFrame([*rows, (None, FIRST, "n"), rows[0]], TRIPLES)
+    assert sorted(map(tuple, list_members(df).collect())) == [*[("a0", i, m) for i, m in enumerate("xyzxw")], ("b0", 0, "q")]
+    assert sorted(map(tuple, list_lengths(df).collect())) == [("a0", 5), ("b0", 1)]
+    assert list_members(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        list_members(spark.createDataFrame([("a", FIRST, "x"), ("a", REST, "b"), ("b", FIRST, "y"), ("b", REST, "a")], TRIPLES), rounds=4)
