@@ -3,8 +3,10 @@
 A text is a TF-IDF vector of hashed byte n-grams (2 to 4 bytes of the UTF-8
 text; A-Z lowered, what is no letter is a space), of unit length. Each
 language has CENTROIDS spherical k-means centroids. A text takes the language of
-the centroid of greatest cosine; it is rejected if it lies farther from it than
-any training text of that language did, by a margin.
+the centroid of greatest cosine; it is rejected if it lies farther from it, by a
+margin, than all but a hundredth of that language's training texts of its size.
+Short texts have low cosines by nature, so sizes (numbers of distinct n-grams)
+have bounds of their own.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .words import flat_text, mix, row_chunks
 DIM, GRAMS, CENTROIDS, STEPS = 4096, (2, 3, 4), 4, 12
 #: Bound of the sample that is fitted on, per language; which rows is decided by a hash of doc_id.
 SAMPLE = 1000
-#: A text is rejected below this share of the least cosine that a training text had.
-MARGIN = 0.5
+#: A text is rejected below the share MARGIN of the quantile QUANTILE of training texts' cosines. A quantile is taken of ROWS rows at least.
+MARGIN, QUANTILE, ROWS = 0.75, 0.01, 100
+#: Classes of size (half powers of two) and steps of cosine that training texts are counted by.
+SIZES, FINE = 2 * DIM.bit_length(), 1000
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[:128] = 32
 _CLASS[97:123] = np.arange(97, 123)
@@ -37,7 +41,7 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray  # n x DIM, unit rows
     idf: np.ndarray
-    least: np.ndarray  # rejection bound of each centroid
+    least: np.ndarray  # rejection bound of each centroid and class of size
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -81,11 +85,75 @@ def _clusters(x: np.ndarray) -> np.ndarray:
     return centre
 
 
+def _cosines(found: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines with all centroids, and the class of size, of rows of n-gram counts."""
+    size = np.maximum((found > 0).sum(axis=1), 1)
+    return _unit(np.sqrt(found) * m.idf) @ m.centroids.T, (2 * np.log2(size)).astype(int)
+
+
+def _lettered(texts: pa.Array) -> np.ndarray:
+    return np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in texts], bool)
+
+
+def _bounds(seen: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Per language the bound of each class of size, of counts of training texts by class and step of cosine.
+
+    A class with fewer than ROWS texts of the language takes those of all
+    languages, and if these are too few, shorter ones too.
+    """
+    every = sum(seen.values())
+
+    def bound(own: np.ndarray, k: int) -> float:
+        rows = own[k] if own[k].sum() >= ROWS else every[k]
+        while rows.sum() < ROWS and k > 0:
+            k -= 1
+            rows = rows + every[k]
+        n = int(rows.sum())
+        if not n:
+            return 0.0
+        # The least row of all never sets a bound, unless it is alone.
+        return MARGIN * int((np.cumsum(rows) > min(max(1, QUANTILE * n), n - 1)).argmax()) / FINE
+
+    return {name: np.array([bound(own, k) for k in range(SIZES)]) for name, own in seen.items()}
+
+
+def _seen(rows: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Per language its rows with letters, counted by class of size and cosine with the language's nearest centroid.
+
+    Texts that are themselves a centroid are left out: they tell no distance.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        columns = {name: [k for k, n in enumerate(m.languages) if n == name] for name in m.languages}
+        total = {name: np.zeros(SIZES * FINE, np.int64) for name in columns}
+        for batch in batches:
+            data, offsets = flat_text(batch.column(0))
+            for a, b in row_chunks(offsets, rows=512):
+                cosine, size = _cosines(counts(data, offsets[a : b + 1]), m)
+                lang, ok = np.array(batch.column(1).slice(a, b - a).to_pylist(), object), _lettered(batch.column(0).slice(a, b - a))
+                for name, mine in columns.items():
+                    r = np.flatnonzero(ok & (lang == name))
+                    near = cosine[np.ix_(r, mine)].max(axis=1)
+                    r, near = r[near < 0.9999], near[near < 0.9999]
+                    total[name] += np.bincount(size[r] * FINE + (near * FINE).astype(int), minlength=SIZES * FINE)
+        for name, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
+
+    out = {name: np.zeros((SIZES, FINE), np.int64) for name in model.languages}
+    parts = rows.select("text", "lang").mapInArrow(work, "lang string, at int, n long")
+    for r in parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # at most languages x SIZES x FINE rows
+        out[r.lang][r.at // FINE, r.at % FINE] = r.n
+    return out
+
+
 def fit(docs: DataFrame) -> Model | None:
     """A model of rows (doc_id, text, lang), all of them labelled; None if there is none with a letter in it.
 
-    At most about SAMPLE rows of a language are fitted on, chosen by a hash of
-    doc_id; languages are assumed to be few enough for the driver (as labels are).
+    Centroids are fitted on at most about SAMPLE rows of a language, chosen by a
+    hash of doc_id; rejection bounds on all rows. Languages are assumed to be few enough for the driver (as labels are).
     """
     rows = docs.where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -110,7 +178,7 @@ def fit(docs: DataFrame) -> Model | None:
     if not any(len(s) for s in spots):
         return None
     idf = np.log((1 + len(spots)) / (1 + np.bincount(np.concatenate(spots), minlength=DIM))) + 1
-    names, centres, least = [], [], []
+    names, centres = [], []
     for name in sorted(sizes):
         mine = [i for i in np.flatnonzero(lang == name) if len(spots[i])]
         if not mine:
@@ -122,8 +190,12 @@ def fit(docs: DataFrame) -> Model | None:
         c = _clusters(x)
         names += [name] * len(c)
         centres.append(c)
-        least += [float((x @ c.T).max(axis=1).min()) * MARGIN] * len(c)
-    return Model(names, np.concatenate(centres), idf, np.array(least)) if names else None
+    if not names:
+        return None
+    model = Model(names, np.concatenate(centres), idf, np.zeros((len(names), SIZES)))
+    bounds = _bounds(_seen(rows, model))
+    model.least = np.stack([bounds[name] for name in names])
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -140,16 +212,15 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
             for a, b in row_chunks(offsets, rows=512):
-                texts = batch.column(1).slice(a, b - a)
-                lettered = np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in texts], bool)
+                lettered = _lettered(batch.column(1).slice(a, b - a))
                 if m is None:
                     lettered[:] = False
                     best, score, ok = np.zeros(b - a, int), np.zeros(b - a), lettered
                 else:
-                    cosine = _unit(np.sqrt(counts(data, offsets[a : b + 1])) * m.idf) @ m.centroids.T
+                    cosine, size = _cosines(counts(data, offsets[a : b + 1]), m)
                     best = cosine.argmax(axis=1)
                     score = np.where(lettered, np.clip(cosine[np.arange(b - a), best], 0, 1), 0)
-                    ok = lettered & (score >= m.least[best])
+                    ok = lettered & (score >= m.least[best, size])
                 names = [m.languages[k] if t else "und" for k, t in zip(best, lettered, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 

@@ -1,5 +1,6 @@
 """Edge cases and brute-force checks of the ten operators on small tables."""
 
+import base64
 import hashlib
 import random
 import re
@@ -155,6 +156,25 @@ def test_language_edges(docs, none):
     assert {r.lang_pred for r in lang_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_rejects(spark):
+    rnd = random.Random(1)
+    letters = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(200))
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心。", "привет", "人人", letters, base64.b64encode(rnd.randbytes(1500)).decode(),
+    ]
+    clean = ["Erö.", "Éaux.", "This.", "The esingor.", "Las ciónbo os."]
+    sf = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    train = sf.where(~lang_id.held_out())
+    odd = spark.createDataFrame([(-1, foreign[0], "fr", "", 0)], sf.schema)
+    for model in (lang_id.fit(train), lang_id.fit(train.unionByName(odd))):  # one odd row sets no bound
+        found = {r.doc_id: r.accepted for r in lang_id.identify(spark.createDataFrame(list(enumerate(foreign[1:] + clean)), "doc_id long, text string"), model).collect()}
+        assert [found[i] for i in range(len(found))] == [False] * (len(foreign) - 1) + [True] * len(clean)
+    assert lang_id.identify(sf, model).where("not accepted").count() <= 10
+
+
 def test_top_k(spark):
     rnd = np.random.Generator(np.random.PCG64(4))
     vectors = [(i, [float(v) for v in rnd.normal(size=6) * (1 + i % 3)]) for i in range(450)]
