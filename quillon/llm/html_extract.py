@@ -4,13 +4,15 @@ Pages are parsed to trees by one regular expression and a stack. The pages of a
 host are merged: each element path (tags and classes from the root) is a style
 node; its presentations are the child sequences it shows, its contents the
 texts it shows. Their entropies, normalised to 0..1 by the number of pages, give
-importance: a node that always shows the same text and layout has none. Only
+importance: a node that always shows the same text and layout has none, and
+neither has a text that nearly all pages of the host show at one path. Only
 counts travel: (host, path, text hash) pre-aggregates before any shuffle, so a
 host with a third of all pages is no larger in any task than others.
 
 A page keeps its article (or main) element if it has one, else its body; from
 that go nodes that are boilerplate by HTML's own meaning (nav, footer, forms,
-...; class and id words), and, outside an article, nodes of low importance.
+...; class and id words), and nodes of low importance; inside an article only
+blocks, and none if they hold most of its text (copies of a page on one host).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-#: A style node is unimportant below this importance, if at least PAGES pages of the host show it.
+#: A style node is unimportant below this importance, if at least PAGES pages of the host show it; a text, if all but this share of the host's pages, and PAGES at least, show it.
 UNIMPORTANT, PAGES = 0.2, 5
 #: The importance table is broadcast only up to this many nodes; beyond, pages join it by host.
 BROADCAST_NODES = 100_000
@@ -147,6 +149,29 @@ def _article(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
+def _digest(shown: str) -> bytes:
+    return hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def _text_key(path: str, shown: bytes) -> str:
+    return f"{path}\0{shown.hex().upper()}"
+
+
+def _repeated(tops: list[Node], unimportant: frozenset[str] | set[str]) -> set[int]:
+    """Ids of the outermost unimportant blocks inside articles; none if they hold most of the articles' text."""
+    found, size, todo = set(), 0, [i for t in tops for i in t.items]
+    while todo and unimportant:
+        x = todo.pop()
+        if isinstance(x, str) or x.tag in _SILENT or _drops(x, True):
+            continue
+        if x.tag in _BLOCK and (text := _text_of(x)) and (x.path in unimportant or _text_key(x.path, _digest(text)) in unimportant):
+            found.add(id(x))
+            size += len(text)
+        else:
+            todo += x.items
+    return found if 2 * size < sum(len(_text_of(t)) for t in tops) else set()
+
+
 def extract(page: str, unimportant: frozenset[str] | set[str] = frozenset()) -> str:
     """Main text of a page: blocks in page order, joined by an empty line."""
     tops, sure = _article(parse(page))
@@ -160,6 +185,7 @@ def extract(page: str, unimportant: frozenset[str] | set[str] = frozenset()) ->
 
     todo: list = list(reversed(tops))
     top_ids = {id(t) for t in tops}
+    repeated = _repeated(tops, unimportant) if sure else set()
     while todo:
         x = todo.pop()
         if x is None:
@@ -168,7 +194,7 @@ def extract(page: str, unimportant: frozenset[str] | set[str] = frozenset()) ->
             line.append(x)
         elif x.tag == "br":
             line.append(" ")
-        elif x.tag in _SILENT or (id(x) not in top_ids and (_drops(x, sure) or (not sure and x.path in unimportant))):
+        elif x.tag in _SILENT or (id(x) not in top_ids and (_drops(x, sure) or (id(x) in repeated if sure else x.path in unimportant))):
             if x.tag in _BLOCK:
                 close()
         elif x.tag in _BLOCK:
@@ -189,7 +215,7 @@ def _drops(x: Node, in_article: bool) -> bool:
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts (host, path, kind, shown, n) of all nodes but those inside an article, which importance never removes: kind 0 counts texts, kind 1 child sequences."""
+    """Partial counts (host, path, kind, shown, n) of all nodes but inline ones inside an article, which importance never removes: kind 0 counts texts, kind 1 child sequences, kind 2 the host's pages. What a page shows repeatedly counts once."""
     counts: dict[tuple[str, str, int, bytes], int] = {}
 
     def flush() -> pa.RecordBatch:
@@ -203,33 +229,44 @@ def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(page.as_py() or "")
             tops, sure = _article(root)
             kept = {id(t) for t in tops} if sure else set()
-            host, todo = host_of(url), [root]
+            host, todo = host_of(url), [(root, False)]
+            keys = {(host, "", 2, b"")}
             while todo:
-                x = todo.pop()
-                if id(x) in kept:
-                    continue
+                x, inside = todo.pop()
                 kids = [i for i in x.items if not isinstance(i, str) and i.tag not in _SILENT]
-                todo += kids
-                if not x.path:
+                todo += [(i, inside or id(x) in kept) for i in kids]
+                if not x.path or (inside and x.tag not in _BLOCK) or id(x) in kept:
                     continue
                 for kind, shown in ((0, _text_of(x)), (1, ",".join(i.path[len(x.path) :] for i in kids))):
-                    key = (host, x.path, kind, hashlib.blake2b(shown.encode("utf-8", "surrogatepass"), digest_size=8).digest())
-                    counts[key] = counts.get(key, 0) + 1
+                    keys.add((host, x.path, kind, _digest(shown)))
+            for key in keys:
+                counts[key] = counts.get(key, 0) + 1
             if len(counts) > 100_000:
                 yield flush()
     if counts:
         yield flush()
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged trees: the greater of the normalised entropies of a node's texts and of its child sequences."""
+def style_counts(pages: DataFrame) -> DataFrame:
+    """(host, path, kind, shown, n) of the merged trees: how many pages of the host show this there."""
     rows = pages.select("url", "html").mapInArrow(_style_rows, "host string, path string, kind int, shown binary, n long")
-    each = rows.groupBy("host", "path", "kind", "shown").agg(F.sum("n").alias("n"))
-    kinds = each.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
+    return rows.groupBy("host", "path", "kind", "shown").agg(F.sum("n").alias("n"))
+
+
+def style_tree(each: DataFrame) -> DataFrame:
+    """(host, path, pages, importance) of style_counts: the greater of the normalised entropies of a node's texts and of its child sequences."""
+    kinds = each.where("kind < 2").groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
     return kinds.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
 
 
+def repeated_texts(each: DataFrame) -> DataFrame:
+    """(host, path) of style_counts: keys of texts that nearly all pages of a host show at one path. Cells of tables are no texts of their own."""
+    hosts = each.where((F.col("kind") == 2) & (F.col("n") >= PAGES)).select("host", F.col("n").alias("pages"))
+    texts = each.where((F.col("kind") == 0) & (F.col("n") >= PAGES) & ~F.col("path").rlike(r"/t[dhr](\.[^/]*)?$"))
+    return texts.join(hosts, "host").where(F.col("n") >= (1 - UNIMPORTANT) * F.col("pages")).select("host", F.concat("path", F.lit("\0"), F.hex("shown")).alias("path"))
+
+
 def _texts(unimportant):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unimportant.value if unimportant is not None else None
@@ -253,7 +290,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     schema = "page_id long, url string, text string, n_chars long"
-    low = stored(style_tree(pages).where((F.col("importance") < UNIMPORTANT) & (F.col("pages") >= PAGES)).select("host", "path"), "styles")
+    each = stored(style_counts(pages), "style-counts")
+    paths = style_tree(each).where((F.col("importance") < UNIMPORTANT) & (F.col("pages") >= PAGES)).select("host", "path")
+    low = stored(paths.unionByName(repeated_texts(each)), "styles")
     rows = pages.select("page_id", "url", "html")
     if low.count() <= BROADCAST_NODES:
         known: dict[str, set[str]] = {}

@@ -250,6 +250,16 @@ def test_html_style_tree(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_style_tree_inside_articles(spark):
+    one = "<body><article><h1>Title {0}</h1><p>Own text {0} of page {0}</p><p>Tell your friends</p><div class=x>Same {0} <b>Note</b> on {0}</div><p>End {0}</p></article></body>"
+    copy = "<body><article><h1>A title</h1><p>A text that is copied</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", one.format(i)) for i in range(12)] + [(20 + i, f"http://copies.example/{i}", copy) for i in range(12)]
+    rows += [(40, "http://single.example/", "<body><article>" + "<p>Again</p>" * 9 + "</article></body>")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\n\nOwn text 3 of page 3\n\nSame 3 Note on 3\n\nEnd 3"
+    assert got[25] == "A title\n\nA text that is copied" and got[40] == "\n\n".join(["Again"] * 9)
+
+
 def test_chat(spark):
     odd = r"\### Assistant: </turn> ok"
     rows = [(1, 1, "assistant", "hello é 漢字🙂\n"), (1, 0, "user", odd), (1, 2, "assistant", None), (2, 0, None, "x"), (2, 1, "ro: le", "</turn>\n### user: "), (-7, 0, "user", odd), (-7, 1, "assistant", odd), (1, 3, "assistant", "a" * 5000), (None, 0, "user", "q")]
