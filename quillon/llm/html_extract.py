@@ -35,13 +35,16 @@ BROADCAST_NODES = 100_000
 
 # Elements by their meaning in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SILENT = frozenset("script style noscript template iframe object svg math head title canvas audio video select option datalist textarea button".split())
+_SILENT = frozenset("script style noscript template iframe object svg annotation annotation-xml head title canvas audio video select option datalist textarea button".split())
 _BOILER = frozenset("nav header footer aside form dialog menu".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 # Words in class, id and role that name boilerplate.
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search alert".split()
 )
+# Parts of a name behind its head ("sidebar-left", "share-buttons"), and parts that say there is none of it.
+_TAIL = frozenset("area bar block body bottom box button buttons center col column container content group holder icon icons inner item items left link links list main outer panel primary right row secondary section slot small large text top unit wrap wrapper".split())
+_WITHOUT = frozenset("no not has with without hide hidden show".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -54,10 +57,11 @@ _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "boiler", "path", "parent", "items")
+    __slots__ = ("tag", "boiler", "weak", "header", "path", "parent", "items")
 
-    def __init__(self, tag: str, boiler: bool, path: str, parent: Node | None):
+    def __init__(self, tag: str, boiler: bool, path: str, parent: Node | None, weak: bool = False, header: bool = False):
         self.tag, self.boiler, self.path, self.parent = tag, boiler, path, parent
+        self.weak, self.header = weak, header  # boilerplate by a class word or as a form only; by nothing but the word header
         self.items: list[Node | str] = []
 
 
@@ -66,18 +70,26 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-def _named(attributes: str) -> tuple[bool, str]:
-    """Whether attributes name boilerplate or hide the element; its class for the path."""
-    boiler, style = False, ""
+def _head(name: str) -> str:
+    """The listed word that heads a class name or id, or nothing: `main-nav` and `sidebar-left` have one, `no-sidebar`, `comments-open` and `search-result` none."""
+    parts = _NAME.findall(name)
+    while len(parts) > 1 and parts[-1] in _TAIL:
+        parts.pop()
+    return parts[-1] if parts and parts[-1] in _WORDS and _WITHOUT.isdisjoint(parts) else ""
+
+
+def _named(attributes: str) -> tuple[bool, set[str], str]:
+    """Whether attributes hide the element; words by which they name boilerplate; its class for the path."""
+    gone, words, style = False, set(), ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            boiler = True
+            gone = True
         elif name in ("class", "id", "role"):
-            boiler = boiler or not _WORDS.isdisjoint(_NAME.findall(value))
+            words.update(w for w in map(_head, value.split()) if w)
             if name == "class":
                 style = "." + ".".join(sorted(value.split()))
-    return boiler, style
+    return gone, words, style
 
 
 def parse(page: str) -> Node:
@@ -112,17 +124,41 @@ def parse(page: str) -> Node:
                 up = up.parent
             if seen is not None:
                 node = seen.parent
-        boiler, style = _named(m[3]) if m[3] and "=" in m[3] or m[3] and "hidden" in m[3] else (False, "")
-        new = Node(tag, boiler or tag in _BOILER, f"{node.path}/{tag}{style}", node)
+        gone, words, style = _named(m[3]) if m[3] and "=" in m[3] or m[3] and "hidden" in m[3] else (False, (), "")
+        named = tag in _BOILER
+        weak = not gone and (not named or tag == "form")
+        new = Node(tag, gone or named or bool(words), f"{node.path}/{tag}{style}", node, weak, not gone and (tag == "header" or (not named and set(words) == {"header"})))
         node.items.append(new)
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else n
         elif tag not in _VOID and not m[3].endswith("/"):
             node = new
+    _settle(root)
     return root
 
 
+def _settle(root: Node) -> None:
+    """Boilerplate by a class word or as a form is none if it holds most of the page's text and the page's article or first heading, or on a page without article or main."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.tag not in _SILENT:
+            order.append(x)
+            todo += [i for i in x.items if not isinstance(i, str)]
+    if not any(x.boiler and x.weak for x in order):
+        return
+    size, holds = {}, {}
+    for x in reversed(order):  # children come after their parents
+        kids = [i for i in x.items if not isinstance(i, str) and id(i) in size]
+        size[id(x)] = sum(len(i.strip()) for i in x.items if isinstance(i, str)) + sum(size[id(i)] for i in kids)
+        holds[id(x)] = (x.tag in ("article", "main") and not x.boiler) or x.tag == "h1" or any(holds[id(i)] for i in kids)
+    bare = not any(x.tag in ("article", "main") and not x.boiler for x in order)
+    for x in order:
+        if x.boiler and x.weak and 2 * size[id(x)] > size[id(root)] and (bare or holds[id(x)]):
+            x.boiler = False
+
+
 def _text_of(node: Node) -> str:
     parts, todo = [], [node]
     while todo:
@@ -134,8 +170,20 @@ def _text_of(node: Node) -> str:
     return " ".join(" ".join(parts).split())
 
 
+def _length(node: Node) -> int:
+    """Characters of a node's text but for boilerplate below it."""
+    n, todo = 0, list(node.items)
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            n += len(x.strip())
+        elif x.tag not in _SILENT and not x.boiler:
+            todo += x.items
+    return n
+
+
 def _article(root: Node) -> tuple[list[Node], bool]:
-    """Outermost article or main elements that hold text, and whether there are any; else the root."""
+    """Outermost articles, if they hold half or more of the text that is no boilerplate, or main elements that hold text, and whether there are any; else the root."""
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
@@ -144,7 +192,8 @@ def _article(root: Node) -> tuple[list[Node], bool]:
                 found.append(x)
             elif x.tag not in _SILENT and not x.boiler:
                 todo += [i for i in reversed(x.items) if not isinstance(i, str)]
-        if any(_text_of(x) for x in found):
+        size = sum(len(_text_of(x)) for x in found)
+        if size and (wanted == "main" or 2 * sum(map(_length, found)) >= _length(root)):
             return found, True
     return [root], False
 
@@ -211,7 +260,7 @@ def _drops(x: Node, in_article: bool) -> bool:
     """An article's own header (its headings, no menu) stays; body and html never go."""
     if x.tag in ("body", "html", "main", "article"):
         return x.tag == "article" and x.boiler  # a reader comment marked up as an article
-    return x.boiler and not (in_article and x.tag == "header" and not _WORDS.isdisjoint({"header"}) and any(not isinstance(i, str) and i.tag in ("h1", "h2") for i in x.items))
+    return x.boiler and not (in_article and (x.tag == "header" or x.header) and any(not isinstance(i, str) and i.tag in ("h1", "h2") for i in x.items))
 
 
 def _style_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -242,6 +242,20 @@ def test_html():
     assert html_extract.extract("") == "" and html_extract.extract("plain &lt;x&gt;") == "plain <x>"
 
 
+def test_html_names():
+    text = "<p>The main text of this page, which is longer than all the rest of it.</p>"
+    for name in ("layout with-sidebar", "no-sidebar", "comments-open", "search-result", "widget", "page has-share"):
+        assert html_extract.extract(f'<body><nav>Menu</nav><div class="{name}"><article><h1>T</h1>{text}</article></div></body>').startswith("T\n\nThe main"), name
+        assert html_extract.extract(f'<body><nav>Menu</nav><div class="{name}">{text}</div></body>').startswith("The main"), name
+    assert html_extract.extract(f"<body><form><h1>T</h1>{text}</form></body>").startswith("T\n\nThe main")
+    assert html_extract.extract(f'<article><div class="entry-header"><h1>T</h1></div>{text}</article>').startswith("T\n\nThe main")
+    assert "x + y" in html_extract.extract(f"<article>{text}<p>So <math><mi>x</mi> + <mi>y</mi></math></p></article>")
+    assert html_extract.extract(f"<body><div>{text}</div><article><p>A teaser</p></article></body>").startswith("The main")
+    for name in ("main-nav", "sidebar-left", "share-buttons", "ad", "ad-1", "cookie_banner"):
+        assert html_extract.extract(f'<article>{text}<div class="{name}">Away</div></article>') == text[3:-4], name
+    assert html_extract.extract(f'<article>{text}<section id="comments">{text * 3}</section></article>') == text[3:-4]
+
+
 def test_html_style_tree(spark):
     one = "<body><div class=top>Same words everywhere</div><div class=text><p>Own text {0} of page {0}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", one.format(i), 1) for i in range(12)] + [(99, None, None, 1), (98, "http://h.example/x", "", 1)]
