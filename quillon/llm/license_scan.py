@@ -33,8 +33,9 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
-_EXPRESSION = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+_EXPRESSION = re.compile(rb"spdx-license-identifier:", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
+_STEP = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 # Operators by rank.
 _RANK = {"or": 1, "and": 2, "with": 3}
 
@@ -96,6 +97,37 @@ def choices(expression: str) -> list[frozenset[str]]:
     return sorted(stack[0], key=sorted)
 
 
+def leading_expression(raw: bytes, start: int = 0) -> str:
+    """The longest valid expression that begins at a place of a text, empty if there is none.
+
+    It ends at the first token that can't continue it, at a character that is in
+    no token, and at dashes or full stops that end or make up a token.
+    """
+    end = at = start
+    depth = 0
+    operand = True  # what may come next
+    while m := _STEP.match(raw, at):
+        token = m[1].decode()
+        word = token.rstrip(".:-")
+        name = word.lower()
+        if token == "(" and operand:
+            depth += 1
+        elif token == ")" and not operand and depth:
+            depth -= 1
+        elif name in _RANK and not operand and word == token:
+            operand = True
+        elif token not in ("(", ")") and name not in _RANK and operand and word[:1].isalnum():
+            operand = False
+        else:
+            break
+        at = m.end()
+        if not operand and not depth:
+            end = at - (len(token) - len(word) if token not in ("(", ")") else 0)
+        if token not in ("(", ")") and word != token:
+            break
+    return raw[start:end].decode().strip()
+
+
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -129,11 +161,10 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float,
     expressions: list[str] = []
     if tagged:
         for m in _EXPRESSION.finditer(raw):
-            text = m[1].decode("utf-8", "replace").split("*/")[0].strip()
-            try:
-                sets = choices(text)
-            except ValueError:
+            text = leading_expression(raw, m.end())
+            if not text:
                 continue
+            sets = choices(text)
             expressions.append(" | ".join(" & ".join(sorted(s)) for s in sets))
             labels.update(x for s in sets for x in s)
             doubt *= 0.05
@@ -146,8 +177,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     Words are runs of 0-9, a-z (A-Z lowered) and non-ASCII characters. n_base
     counts all places of BASE phrases, first_word and last_word are the least and
-    greatest word at which one starts (null without any). A tag's malformed
-    expression adds nothing. Null counts as empty; doc_id may be null or
+    greatest word at which one starts (null without any). Of what
+    follows a tag the longest valid expression at its start counts. Null counts as empty; doc_id may be null or
     repeated; other columns are not looked at.
     """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]

@@ -300,6 +300,17 @@ def test_licenses(spark):
     assert license_scan.to_postfix("a or b and c with d") == ["a", "b", "c", "d", "with", "and", "or"]
 
 
+def test_license_tag_with_more_behind_it():
+    cases = {
+        "<!-- SPDX-License-Identifier: MIT -->": ["mit"], "SPDX-License-Identifier: MIT.": ["mit"], "/* SPDX-License-Identifier: MIT*/ int x;": ["mit"],
+        "SPDX-License-Identifier: Apache-2.0 applies to this file": ["apache-2.0"], "x SPDX-License-Identifier: (MIT OR ISC) code(1)": ["isc | mit"],
+        "SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0+": ["mit", "gpl-2.0+"], "SPDX-License-Identifier: MIT OR (": ["mit"],
+        "SPDX-License-Identifier: (MIT OR": [], "SPDX-License-Identifier: -->": [], 'SPDX-License-Identifier: MIT"; x = 1': ["mit"],
+    }
+    for text, wanted in cases.items():
+        assert license_scan.scan(text.encode())[7] == wanted, text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
