@@ -18,10 +18,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised stay: those without letters or far from every language's centroids go. Rows without doc_id stay if one with their text does."""
+    """Documents whose language is recognised stay: those without letters or far from every language's centroids go. It is the text alone that decides, so rows meet their verdict by its 64-bit hash, with or without doc_id."""
     model = lang_id.fit(docs.where(~lang_id.held_out()))
-    refused = stored(lang_id.identify(docs, model).where(~F.col("accepted")).select("doc_id").where("doc_id is not null").distinct(), "refused")
-    return docs.join(refused, "doc_id", "left_anti").select(*docs.columns)
+    hashed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    refused = stored(lang_id.identify(hashed, model).where(~F.col("accepted")).select(F.col("doc_id").alias("refused_text")).distinct(), "refused")
+    return docs.join(refused, F.xxhash64("text") == F.col("refused_text"), "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -311,6 +311,15 @@ def test_license_tag_with_more_behind_it():
         assert license_scan.scan(text.encode())[7] == wanted, text
 
 
+def test_pipeline_language_without_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    more = [(None, "1 2 3", "en", "", 5), (None, None, "en", "", None), (None, "Ing that of the and on.", "en", "", 23), (-5, "7 7", "en", "", 3), (-5, "And on the that of.", "en", "", 19)]
+    left = corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), "").where("doc_id is null or doc_id < 0").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(-5, "And on the that of."), (0, "Ing that of the and on.")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
