@@ -4,11 +4,14 @@ Documents become token ids; what is longer than a sequence is cut into full
 sequences and one shorter first piece. How many pieces have each length is all
 the planner needs: at most `capacity` numbers, whatever the corpus.
 
-Planner: large lengths are sorted and cut into groups of equal
-cardinality, each rounded up to its longest. A linear program over
+Planner: lengths over a third of the capacity are sorted and cut into groups of
+equal cardinality, each rounded up to its longest. A linear program over
 configurations of these few sizes (column generation; a knapsack prices) gives
-counts, rounded down. Actual lengths, shorter or equal, take the places, longest
-first. Pieces left over and small ones then go, longest first, where they fit best.
+counts, rounded down. Configurations may leave a gap (several are tried), so that
+what rounding wastes adds to one that a small piece can fill. Actual lengths,
+shorter or equal, take the places, longest first. Pieces left over and small
+ones then go, longest first, where they fit best; only sequences that are still
+loose are packed anew.
 
 Pieces get ranks within their length: hashed groups are ranked alone and offset
 by the groups before them, so a common length never meets in one task. Rank and
@@ -28,8 +31,10 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoder
 from .storage import stored
 
-#: (lengths over capacity / this are large, number of groups), and the free places of sequences that are packed anew.
-GROUPINGS, SLACKS, ROUNDS = ((6, 32), (3, 64), (3, 128)), (256, 64, 16, 4, 0, -1), 400
+#: Lengths over capacity / LARGE are large. Number of groups and share of the capacity that configurations leave as a gap, each tried.
+LARGE, GROUPINGS, ROUNDS = 3, ((32, 1 / 8), (32, 5 / 32), (64, 1 / 8), (64, 5 / 32), (64, 0), (128, 0)), 400
+#: Shares of the capacity: sequences with more free places than that are loose.
+SLACKS = (1 / 8, 1 / 32)
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -73,8 +78,13 @@ def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> list[int]:
     return take
 
 
-def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """Gilmore and Gomory's column generation on the fractional problem; counts are rounded down."""
+def _configurations(sizes: list[int], demand: list[int], capacity: int, gap: int) -> list[tuple[list[int], int]]:
+    """Gilmore and Gomory's column generation on the fractional problem over sequences that leave `gap` places; counts are rounded down. Sizes (longest first) that leave less stand alone."""
+    alone = sum(s > capacity - gap for s in sizes)
+    if alone:
+        rest = _configurations(sizes[alone:], demand[alone:], capacity, gap) if alone < len(sizes) else []
+        return [([int(i == j) for j in range(len(sizes))], demand[i]) for i in range(alone)] + [([0] * alone + p, n) for p, n in rest]
+    capacity -= gap
     m = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
     patterns = [[capacity // s if i == j else 0 for j in range(m)] for i, s in enumerate(sizes)]
@@ -96,10 +106,10 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
 Classes = list[tuple[tuple[tuple[int, int], ...], int]]
 
 
-def _grouped(counts: dict[int, int], capacity: int, share_of: int, groups: int) -> tuple[Classes, dict[int, int]]:
-    """Sequences from the configurations of lengths over capacity / share_of in `groups` groups, filled with actual lengths; and what is left over."""
+def _grouped(counts: dict[int, int], capacity: int, groups: int, gap: int) -> tuple[Classes, dict[int, int]]:
+    """Sequences from the configurations of large lengths in `groups` groups, filled with actual lengths; and what is left over."""
     left = {s: n for s, n in counts.items() if n > 0}
-    large = sorted((s for s in left if s * share_of > capacity), reverse=True)
+    large = sorted((s for s in left if s * LARGE > capacity), reverse=True)
     total = sum(left[s] for s in large)
     runs: list[list[list[int]]] = []  # of each group: [length, how many], longest first
     sizes: list[int] = []
@@ -120,7 +130,7 @@ def _grouped(counts: dict[int, int], capacity: int, share_of: int, groups: int)
             merged.setdefault(s, []).extend(r)
         sizes, runs = list(merged), list(merged.values())
     classes: Classes = []
-    for pattern, n in _configurations(sizes, [sum(k for _, k in r) for r in runs], capacity) if sizes else []:
+    for pattern, n in _configurations(sizes, [sum(k for _, k in r) for r in runs], capacity, gap) if sizes else []:
         slots = [g for g, k in enumerate(pattern) for _ in range(k)]
         supply = [sum(k for _, k in runs[g]) // pattern[g] for g in set(slots)]
         n = min([n, *supply])
@@ -204,14 +214,14 @@ def plan(counts: dict[int, int], capacity: int) -> Classes:
     """Classes of equal sequences: ((length, how many in each), ...) and the number of sequences. Every piece is placed.
 
     Several groupings are tried; of each result, sequences that stayed loose are
-    packed anew as long as that saves some. The fewest sequences win.
+    packed anew as long as that saves some; no others are. The fewest sequences win.
     """
     size = lambda classes: sum(n for _, n in classes)
     best: Classes | None = None
-    for share_of, groups in GROUPINGS:
-        now = _best_fit(*_grouped(counts, capacity, share_of, groups), capacity)
+    for groups, gap in GROUPINGS:
+        now = _best_fit(*_grouped(counts, capacity, groups, int(gap * capacity)), capacity)
         for slack in SLACKS:
-            now = min(now, _repacked(now, capacity, slack), key=size)
+            now = min(now, _repacked(now, capacity, int(slack * capacity)), key=size)
         best = now if best is None else min(best, now, key=size)
     return best or []
 
