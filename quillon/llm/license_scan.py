@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import ahocorasick
@@ -45,14 +46,15 @@ _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b in _keep else 32 for b in ran
 
 
 def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: operands and operators (or, and, with) in postfix order. Raises ValueError if it is no expression."""
+    """Shunting-yard: operands and operators (or, and, with) in postfix order. `with` joins a licence and an exception, both single names. Raises ValueError if it is no expression."""
     out: list[str] = []
     held: list[str] = []
     operand = True  # what may come next
+    last, bare = "", False  # the token before; whether it is a licence that may take an exception
     for token in _TOKEN.findall(expression):
         word = token.lower()
         if word == "(":
-            if not operand:
+            if not operand or last == "with":
                 raise ValueError(f"operator expected before ( in {expression!r}")
             held.append(word)
         elif word == ")":
@@ -63,8 +65,9 @@ def to_postfix(expression: str) -> list[str]:
             if not held:
                 raise ValueError(f"unopened ) in {expression!r}")
             held.pop()
+            bare = False
         elif word in _RANK:
-            if operand:
+            if operand or (word == "with" and not bare):
                 raise ValueError(f"operand expected before {token} in {expression!r}")
             while held and held[-1] != "(" and _RANK[held[-1]] >= _RANK[word]:
                 out.append(held.pop())
@@ -74,27 +77,84 @@ def to_postfix(expression: str) -> list[str]:
             if not operand:
                 raise ValueError(f"operator expected before {token} in {expression!r}")
             out.append(word)
-            operand = False
+            operand, bare = False, last != "with"
+        last = word
     if operand or "(" in held:
         raise ValueError(f"incomplete expression {expression!r}")
     return out + held[::-1]
 
 
-def choices(expression: str) -> list[frozenset[str]]:
-    """The alternative sets of licences that satisfy an expression; an exception rides on its licence as `licence with exception`."""
-    stack: list[set[frozenset[str]]] = []
+@dataclass
+class Terms:
+    """Licences and sub-expressions under one operator; nested uses of the same operator are one."""
+
+    kind: str
+    names: set[str] = field(default_factory=set)
+    parts: list[Terms] = field(default_factory=list)
+
+
+def evaluate(expression: str) -> Terms:
+    """The tree of an expression, of a size linear in it; an exception rides on its licence as `licence with exception`."""
+    stack: list[str | Terms] = []
     for token in to_postfix(expression):
-        if token in _RANK:
-            b, a = stack.pop(), stack.pop()
-            if token == "or":
-                stack.append(a | b)
-            elif token == "and":
-                stack.append({x | y for x in a for y in b})
-            else:
-                stack.append({frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b})
-        else:
-            stack.append({frozenset([token])})
-    return sorted(stack[0], key=sorted)
+        if token not in _RANK:
+            stack.append(token)
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(f"{a} with {b}")
+            continue
+        x, y = (t if isinstance(t, Terms) and t.kind == token else Terms(token, {t}) if isinstance(t, str) else Terms(token, parts=[t]) for t in (a, b))
+        if len(x.names) + len(x.parts) < len(y.names) + len(y.parts):
+            x, y = y, x
+        x.names |= y.names
+        x.parts += y.parts
+        stack.append(x)
+    return stack[0] if isinstance(stack[0], Terms) else Terms("or", {stack[0]})
+
+
+def licences(tree: Terms) -> set[str]:
+    """All licences that an expression names."""
+    found, todo = set(), [tree]
+    while todo:
+        x = todo.pop()
+        found |= x.names
+        todo += x.parts
+    return found
+
+
+def shown(tree: Terms) -> str:
+    """An expression with | and &, names in order before sub-expressions."""
+    out: list[str] = []
+    todo: list[str | Terms] = [tree]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        items: list[str | Terms] = []
+        for name in sorted(x.names):
+            items += [" | " if x.kind == "or" else " & ", name]
+        for part in x.parts:
+            items += [" | " if x.kind == "or" else " & ", "(", part, ")"]
+        todo += items[:0:-1]
+    return "".join(out)
+
+
+def satisfied(expression: str, accepted: set[str]) -> bool:
+    """Whether the accepted licences (lower case) suffice for an expression."""
+    stack: list[bool | str] = []
+    for token in to_postfix(expression):
+        if token not in _RANK:
+            stack.append(token)
+            continue
+        b, a = stack.pop(), stack.pop()
+        if token == "with":
+            stack.append(f"{a} with {b}")
+            continue
+        x, y = (t if isinstance(t, bool) else t in accepted for t in (a, b))
+        stack.append(x or y if token == "or" else x and y)
+    return stack[0] if isinstance(stack[0], bool) else stack[0] in accepted
 
 
 def leading_expression(raw: bytes, start: int = 0) -> str:
@@ -106,20 +166,23 @@ def leading_expression(raw: bytes, start: int = 0) -> str:
     end = at = start
     depth = 0
     operand = True  # what may come next
+    last, bare = "", False
     while m := _STEP.match(raw, at):
         token = m[1].decode()
         word = token.rstrip(".:-")
         name = word.lower()
-        if token == "(" and operand:
+        if token == "(" and operand and last != "with":
             depth += 1
         elif token == ")" and not operand and depth:
             depth -= 1
-        elif name in _RANK and not operand and word == token:
+            bare = False
+        elif name in _RANK and not operand and word == token and (bare or name != "with"):
             operand = True
         elif token not in ("(", ")") and name not in _RANK and operand and word[:1].isalnum():
-            operand = False
+            operand, bare = False, last != "with"
         else:
             break
+        last = name
         at = m.end()
         if not operand and not depth:
             end = at - (len(token) - len(word) if token not in ("(", ")") else 0)
@@ -164,9 +227,9 @@ def scan(raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float,
             text = leading_expression(raw, m.end())
             if not text:
                 continue
-            sets = choices(text)
-            expressions.append(" | ".join(" & ".join(sorted(s)) for s in sets))
-            labels.update(x for s in sets for x in s)
+            tree = evaluate(text)
+            expressions.append(shown(tree))
+            labels |= licences(tree)
             doubt *= 0.05
     spots = [line.count(" ", 0, p) for p in (min(places), max(places))] if places else [None, None]
     return len(words), len(places), spots[0], spots[1], ",".join(sorted(base)), ",".join(sorted(labels)), 1 - doubt, expressions

@@ -220,6 +220,17 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_follows_the_configurations(monkeypatch):
+    rnd = random.Random(4)
+    counts = {rnd.randint(1, 2047): rnd.randint(1, 500) for _ in range(600)}
+    with_them = packing.plan(counts, 2048)
+    seen = []
+    monkeypatch.setattr(packing, "_configurations", lambda *a: seen.append(a) or [])
+    assert packing.plan(counts, 2048) != with_them and len(seen) == len(packing.GROUPINGS)
+    # Sequences that are not loose stay as the configurations made them.
+    assert packing._repacked([(((2040, 1),), 5), (((1000, 1),), 2)], 2048, 64) == [(((2040, 1),), 5), (((1000, 2),), 1)]
+
+
 def test_packing_plan_places_everything():
     rnd = random.Random(9)
     counts = {rnd.randint(1, 2047): rnd.randint(1, 500) for _ in range(400)}
@@ -311,6 +322,20 @@ def test_license_tag_with_more_behind_it():
         assert license_scan.scan(text.encode())[7] == wanted, text
 
 
+def test_license_expressions_are_linear():
+    clauses = " AND ".join(f"(a{i} OR b{i})" for i in range(400))
+    found = license_scan.scan(f"SPDX-License-Identifier: {clauses}".encode())
+    assert len(found[5].split(",")) == 800 and found[7][0].startswith("(a0 | b0) & (a1 | b1)")
+    deep = "(" * 3000 + "a" + "".join(f" OR x{i}) AND y{i}" if i % 2 else f" AND x{i}) OR y{i}" for i in range(3000))
+    assert len(license_scan.licences(license_scan.evaluate(deep))) == 6001
+    assert license_scan.shown(license_scan.evaluate("(c or (b or a)) and d")) == "d & (a | b | c)"
+    assert license_scan.satisfied("(mit OR isc) AND gpl-2.0 WITH cp", {"isc", "gpl-2.0 with cp"}) and not license_scan.satisfied("mit AND isc", {"mit"})
+    for wrong in ("a with (b or c)", "(a or b) with c", "a with b with c", "a b", "a or", ")"):
+        with pytest.raises(ValueError):
+            license_scan.to_postfix(wrong)
+    assert license_scan.scan(b"SPDX-License-Identifier: a WITH b WITH c")[7] == ["a with b"]
+
+
 def test_pipeline_language_without_ids(spark):
     import corpus_pipeline
 
