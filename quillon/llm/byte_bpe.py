@@ -23,13 +23,27 @@ def byte_names() -> dict[str, int]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> little-endian uint32 ids as bytes; truncation and padding off, no special tokens added."""
+def byte_lengths(path: str) -> np.ndarray:
+    """How many bytes each id of a byte-level vocabulary stands for."""
+    spec, names = json.loads(open(path, encoding="utf-8").read()), byte_names()
+    added = {t["id"] for t in spec["added_tokens"]}
+    vocab = {v: len(k) for k, v in spec["model"]["vocab"].items() if v not in added and all(c in names for c in k)}
+    out = np.zeros(max([*vocab, *added]) + 1, np.int64)
+    out[list(vocab)] = list(vocab.values())
+    for t in spec["added_tokens"]:
+        out[t["id"]] = len(t["content"].encode())
+    return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, special: bool = True) -> Callable[[str], bytes]:
+    """text -> little-endian uint32 ids as bytes; truncation and padding off, no special tokens added. Strings of special tokens in a text are such tokens, or with special=False ordinary text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    tokenizer.encode_special_tokens = not special
     spec = json.loads(open(path, encoding="utf-8").read())
     added = [t["content"] for t in spec["added_tokens"]]
 
@@ -57,7 +71,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     fast = tiktoken.Encoding("from-file", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(text: str) -> bytes:
-        if _UNUSUAL.search(text) or any(a in text for a in added):
+        if _UNUSUAL.search(text) or (special and any(a in text for a in added)):
             return whole(text)
         return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 

@@ -299,6 +299,27 @@ def test_chat(spark):
     assert digest.loss_sha256 == hashlib.sha256(odd.encode()).hexdigest() and digest.loss_chars == len(odd)
 
 
+def test_chat_mask_decides():
+    path = tokenizer("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    tool.encode_special_tokens = True
+    text = chat_format.render([("user", "é 漢字🙂 <|endoftext|>"), ("assistant", "漢字🙂 yes"), ("assistant", ""), ("assistant", "no")])
+    ids = np.frombuffer(chat_format.encoder(path, special=False)(text), "<u4").astype(np.int64)
+    assert ids.tolist() == tool.encode(text, add_special_tokens=False).ids
+    ends, raw = chat_format.token_ends(ids, path), text.encode()
+    assert ends[-1] == len(raw)
+    spans = chat_format.byte_spans(text, [(a, b) for role, _, a, b in chat_format.parse(text) if role == "assistant"])
+    marks = chat_format.mask(ends, spans)
+    starts = ends - np.diff(ends, prepend=0)
+    assert marks.tolist() == [int(any(a < e and b > s for a, b in spans if a < b)) for s, e in zip(starts, ends, strict=True)]
+    assert chat_format.under_mask(raw, ends, marks, spans) == "漢字🙂 yesno"
+    wrong = marks.copy()
+    wrong[np.flatnonzero(marks)[-1]] = 0
+    assert chat_format.under_mask(raw, ends, wrong, spans) != "漢字🙂 yesno"
+    wrong[0] = 1
+    assert chat_format.under_mask(raw, ends, wrong, spans).startswith("###")
+
+
 def test_licenses(spark):
     lines = ["Released under the MIT License, the mit-LICENSE.", "# SPDX-License-Identifier: (Apache-2.0 OR MIT) AND GPL-2.0-only WITH Classpath-exception-2.0\ncode", "GNU General Public License", "license mit ümit license", None, "", "SPDX-License-Identifier: (broken OR"]
     got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
