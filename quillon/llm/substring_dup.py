@@ -5,19 +5,24 @@ ANCHOR-word runs is its anchor: equal windows have equal anchors, and about a
 quarter of all words start one. Steps:
 
 1. Anchors of all documents, grouped: smallest and largest document of each
-   (partial aggregates). Anchors of two or more documents recur.
+   (partial aggregates). Anchors of two or more documents recur. One with over
+   HOT places is too common to be worked as one: its windows are keyed by their
+   own hash instead, which equal windows share as well.
 2. Second scan: runs of windows with a recurring anchor become segments
    (anchor, document, place, words). Equal segments are merged by a partial
    aggregate that keeps their smallest and largest document.
-3. Segments are dealt by anchor to shards of bounded size. A shard confirms its
-   recurring windows, compiles them, as sequences of word numbers, to an
-   Aho-Corasick automaton and streams its segments through it to locate every
-   occurrence; a window's first document comes back for each place.
-4. Occurrences join that by segment, and documents lose the covered words.
+3. Confirmation, in shards of anchors: windows that stand in two documents, by
+   real words, become phrases with the first document of each window; windows
+   that always occur side by side are one phrase. What doesn't recur ends here.
+4. Location: a shard's phrases are compiled, as sequences of word numbers, to an
+   Aho-Corasick automaton, and the segments of all documents stream through it.
+   Each occurrence behind its window's first document is one to remove. A shard
+   with many segments is dealt over several tasks, each with the automaton.
+5. Documents lose the covered words.
 
 Recurring anchors reach the second scan by broadcast if there are at most
-BROADCAST_ANCHORS of them (8 bytes each), else by a shuffled join; both
-ways give the same rows. Comparing real words in step 3 makes hashes mere hints.
+BROADCAST_ANCHORS of them (9 bytes each), else by a shuffled join; both ways
+give the same rows. Comparing real words in steps 3 and 4 makes hashes mere hints.
 """
 
 from __future__ import annotations
@@ -32,14 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .words import Words, flat_text, row_chunks
+from .words import Words, flat_text, mix, row_chunks
 
 ANCHOR = 6
-#: 32 MB; beyond it the anchors travel by a join.
+#: 36 MB; beyond it the anchors travel by a join.
 BROADCAST_ANCHORS = 4_000_000
+#: Confirmed anchors that filter segments by a broadcast (some 50 MB); beyond, a shuffled join.
+BROADCAST_CONFIRMED = 1_000_000
 RUN = 32
-#: Words of segments in one automaton at most, unless one anchor alone has more.
-SHARD_SEGMENTS = 4_000
+#: Places from which an anchor's windows are keyed by their own hashes.
+HOT = 100_000
+#: Distinct segments of a shard, by which shards are counted, and segments that stream through one task.
+SHARD_SEGMENTS, STREAM = 4_000, 30_000
 
 
 def _anchored(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +93,16 @@ def _anchor_rows(size: int):
     return work
 
 
+def _found(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each x is in the sorted array, and where."""
+    if not len(known):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return known[at] == x, at
+
+
 def _segment_rows(size: int, known):
-    """Segments of windows whose anchor is in `known` (a broadcast sorted array), or in the row's own `anchors` if that is None."""
+    """Segments of windows whose anchor is in `known` (a broadcast sorted array, and which of it are hot), or in the row's own `anchors` and `hots` if that is None."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,65 +116,114 @@ def _segment_rows(size: int, known):
                     continue
                 row = words.row[at]
                 first, many = _runs(at, anchor, row, RUN)
+                key = anchor[first].view(np.int64)
                 if known is not None:
-                    hit = _isin(anchor[first].view(np.int64), known.value)
+                    hit, spot = _found(key, known.value[0])
+                    hot = hit & known.value[1][spot] if hit.any() else hit
                 else:
-                    own = [np.sort(np.array(x or [], np.int64)) for x in batch.column(3).slice(a, b - a).to_pylist()]
-                    hit = np.zeros(len(first), bool)
+                    hit, hot = np.zeros(len(first), bool), np.zeros(len(first), bool)
                     bounds = np.searchsorted(row[first], np.arange(b - a + 1))
-                    for r, hits in enumerate(own):
-                        i, j = bounds[r], bounds[r + 1]
-                        hit[i:j] = _isin(anchor[first[i:j]].view(np.int64), hits)
-                first, many = first[hit], many[hit]
+                    for mark, column in ((hit, 3), (hot, 4)):
+                        for r, mine in enumerate(batch.column(column).slice(a, b - a).to_pylist()):
+                            i, j = bounds[r], bounds[r + 1]
+                            mark[i:j] = _found(key[i:j], np.sort(np.array(mine or [], np.int64)))[0]
+                cold = hit & ~hot
+                if hot.any():
+                    each = np.repeat(first[hot], many[hot])
+                    each = each + np.arange(len(each)) - np.repeat(np.cumsum(many[hot]) - many[hot], many[hot])
+                    key = np.concatenate([key[cold], words.windows(size)[1][each].view(np.int64)])
+                    first, many = np.concatenate([first[cold], each]), np.concatenate([many[cold], np.ones(len(each), np.int64)])
+                else:
+                    first, many, key = first[cold], many[cold], key[cold]
                 start = at[first]
                 raw = words.seg.tobytes()
                 texts = [b" ".join(raw[i:j].split()) for i, j in zip(words.starts[start].tolist(), words.ends[start + many + size - 2].tolist(), strict=True)]
                 marks = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
                 place = start - words.bounds[row[first]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[first].view(np.int64)), pa.array(ids[a + row[first]], pa.int64()), pa.array(stamps[a + row[first]], pa.int64()), pa.array(place, pa.int64()), pa.array(marks, pa.binary()), pa.array(texts, pa.binary())],
+                    [pa.array(key), pa.array(ids[a + row[first]], pa.int64()), pa.array(stamps[a + row[first]], pa.int64()), pa.array(place, pa.int32()), pa.array(marks, pa.binary()), pa.array(texts, pa.binary())],
                     names=["anchor", "doc_id", "stamp", "place", "mark", "words"],
                 )
 
     return work
 
 
-def _isin(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    at = np.searchsorted(known, x)
-    return known[np.minimum(at, len(known) - 1)] == x
+def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each group of equal rows, and each row's group. Grouped by hash; if a hash should join rows that differ, by the rows themselves."""
+    value = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        value = mix(value + rows[:, j].astype(np.uint64) + np.uint64(1))
+    _, one, group = np.unique(value, return_index=True, return_inverse=True)
+    if not (rows == rows[one[group]]).all():
+        _, one, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return one, group.ravel()
 
 
-def _located(size: int):
-    """One shard: (mark, words, low, high) -> mark and the first document of each of its windows (-1: the window doesn't recur)."""
+def _confirmed(size: int):
+    """One shard: distinct segments (anchor, words, low, high) -> phrases (shard, anchor, words, firsts): every window that stands in two documents, once, with its first document."""
 
     def work(table: pa.Table) -> pa.Table:
-        low, high = table.column("low").to_pylist(), table.column("high").to_pylist()
+        shard = table.column("shard")[0].as_py()
+        texts = table.column("words").to_pylist()
+        numbers: dict[bytes, int] = {}
+        streams = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in texts]
+        flat = np.array([n for s in streams for n in s], np.int32)
+        many = np.array([len(s) - size + 1 for s in streams])
+        begin = np.cumsum([0, *[len(s) for s in streams]])[:-1]
+        owner = np.repeat(np.arange(len(streams)), many)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        at = begin[owner] + step
+        one, group = _equal_rows(np.lib.stride_tricks.sliding_window_view(flat, size)[at])
+        low, high = table.column("low").to_numpy()[owner], table.column("high").to_numpy()[owner]
+        least, most = np.full(len(one), np.iinfo(np.int64).max), np.full(len(one), np.iinfo(np.int64).min)
+        np.minimum.at(least, group, low)
+        np.maximum.at(most, group, high)
+        chosen = np.sort(one[least < most])  # where each recurring window is taken from
+        # Neighbours that occur together wherever one of them does are one phrase.
+        count, after = np.bincount(group), np.full(len(group), -1)
+        after[:-1] = np.where(owner[1:] == owner[:-1], group[1:], -1)
+        follower = after[one]
+        whole = (np.bincount(group, after != follower[group]) == 0) & (follower >= 0) & (count == count[follower])
+        new = np.ones(len(chosen), bool)
+        new[1:] = (np.diff(chosen) != 1) | (np.diff(owner[chosen]) != 0) | ~whole[group[chosen[:-1]]]
+        head = np.flatnonzero(new)
+        length = np.diff(np.append(head, len(chosen)))
+        firsts = least[group[chosen]]
+        words, mine = list(numbers), owner[chosen[head]]
+        phrases = [b" ".join([words[n] for n in streams[o][i : i + k + size - 1]]) for o, i, k in zip(mine.tolist(), step[chosen[head]].tolist(), length.tolist(), strict=True)]
+        offsets = np.append(head, len(chosen)).astype(np.int32)
+        return pa.table({
+            "shard": pa.array([shard] * len(head), pa.int64()), "anchor": pa.array(table.column("anchor").to_numpy()[mine], pa.int64()), "words": pa.array(phrases, pa.binary()),
+            "firsts": pa.ListArray.from_arrays(pa.array(offsets), pa.array(firsts, pa.int64())),
+        })
+
+    return work
+
+
+def _located(size: int):
+    """Streams segments of one shard through the automaton of its phrases: (doc_id, stamp, places) of each segment with occurrences to remove."""
+
+    def work(segments: pa.Table, phrases: pa.Table) -> pa.Table:
         numbers: dict[bytes, int] = {}
-        streams = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split()]) for text in table.column("words").to_pylist()]
-        seen: dict[tuple, list[int]] = {}
-        for s, a, b in zip(streams, low, high, strict=True):
-            for i in range(len(s) - size + 1):
-                entry = seen.setdefault(s[i : i + size], [a, b])
-                if a < entry[0]:
-                    entry[0] = a
-                if b > entry[1]:
-                    entry[1] = b
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, (a, b) in seen.items():
-            if a < b:
-                automaton.add_word(key, a)
-        del seen
-        found = [[None] * (len(s) - size + 1) for s in streams]
+        for text, firsts in zip(phrases.column("words").to_pylist(), phrases.column("firsts").to_pylist(), strict=True):
+            s = tuple([numbers.setdefault(w, len(numbers) + 1) for w in text.split()])
+            automaton.add_word(s, firsts)
+        kept: list[int] = []
+        places: list[list[int]] = []
         if len(automaton):
             automaton.make_automaton()
-            for s, out in zip(streams, found, strict=True):
-                for end, a in automaton.iter(s):
-                    out[end - size + 1] = a
-        keep = [any(a is not None for a in out) for out in found]
-        marks = table.column("mark").to_pylist()
-        return pa.table({"mark": pa.array([m for m, k in zip(marks, keep, strict=True) if k], pa.binary()), "firsts": pa.array([out for out, k in zip(found, keep, strict=True) if k], pa.list_(pa.int64()))})
+            number = numbers.get
+            met: dict[bytes, list[tuple[int, list[int]]]] = {}  # equal segments meet the same phrases
+            docs, starts = segments.column("doc_id").to_pylist(), segments.column("place").to_pylist()
+            for r, text in enumerate(segments.column("words").to_pylist()):
+                if (hits := met.get(text)) is None:
+                    hits = met[text] = [(end - size - len(firsts) + 2, firsts) for end, firsts in automaton.iter(tuple([number(w, 0) for w in text.split()]))]
+                if mine := [starts[r] + at + i for at, firsts in hits for i, first in enumerate(firsts) if first < docs[r]]:
+                    kept.append(r)
+                    places.append(mine)
+        rows = pa.array(kept, pa.int64())
+        return pa.table({"doc_id": segments.column("doc_id").take(rows), "stamp": segments.column("stamp").take(rows), "places": pa.array(places, pa.list_(pa.int32()))})
 
     return work
 
@@ -167,23 +233,32 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("stamp"))
     anchors = rows.select("doc_id", "text").mapInArrow(_anchor_rows(size), "anchor long, doc_id long")
-    groups = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    recurring = stored(groups.where("low < high").select("anchor"), "anchors")
-    schema = "anchor long, doc_id long, stamp long, place long, mark binary, words binary"
+    groups = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    recurring = stored(groups.where("low < high").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+    schema = "anchor long, doc_id long, stamp long, place int, mark binary, words binary"
     if recurring.count() <= BROADCAST_ANCHORS:
-        known = spark.sparkContext.broadcast(np.sort(recurring.toArrow().column(0).to_numpy()))
-        segments = rows.mapInArrow(_segment_rows(size, known), schema)
+        table = recurring.toArrow()
+        value, hot = table.column("anchor").to_numpy(), table.column("hot").to_numpy()
+        order = np.argsort(value)
+        segments = rows.mapInArrow(_segment_rows(size, spark.sparkContext.broadcast((value[order], hot[order].astype(bool)))), schema)
     else:
-        held = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors").mapInArrow(_segment_rows(size, None), schema)
+        held = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hots"))
+        segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors", "hots").mapInArrow(_segment_rows(size, None), schema)
     segments = stored(segments, "segments")
     distinct = segments.groupBy("anchor", "mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.any_value("words").alias("words"))
-    distinct = stored(distinct, "distinct")
-    shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
-    firsts = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "mark", "words", "low", "high").groupBy("shard").applyInArrow(_located(size), "mark binary, firsts array<bigint>")
-    places = segments.select("doc_id", "stamp", "place", "mark").join(stored(firsts, "firsts"), "mark")
-    places = places.select("doc_id", "stamp", "place", F.posexplode("firsts").alias("step", "first")).where("first < doc_id")
-    return places.groupBy("doc_id", "stamp").agg(F.collect_set((F.col("place") + F.col("step")).cast("int")).alias("places"))
+    distinct = stored(distinct.drop("mark"), "distinct")
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-distinct.count() // SHARD_SEGMENTS))))
+    confirmed = distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(_confirmed(size), "shard long, anchor long, words binary, firsts array<bigint>")
+    phrases = stored(confirmed, "phrases")
+    matter = stored(phrases.select("anchor").distinct(), "confirmed")
+    matter = F.broadcast(matter) if matter.count() <= BROADCAST_CONFIRMED else matter
+    streams = segments.select("anchor", "doc_id", "stamp", "place", "words").join(matter, "anchor", "left_semi").withColumn("shard", shard)
+    crowded = stored(streams.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts")).where("salts > 1"), "crowded")
+    salts = F.coalesce("salts", F.lit(1))
+    streams = streams.join(crowded, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), salts).cast("int")).select("shard", "salt", "doc_id", "stamp", "place", "words")
+    keys = phrases.join(crowded, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt", "words", "firsts")
+    hits = streams.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInArrow(_located(size), "doc_id long, stamp long, places array<int>")
+    return hits.groupBy("doc_id", "stamp").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
 
 
 def _covered(n: int, places: list[int], size: int) -> np.ndarray:

@@ -88,9 +88,24 @@ def test_sketch_estimates():
     assert abs(guess - 2000 / 3000) < 0.2
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_substring_dedup(docs, none, monkeypatch, limit):
+def test_substring_automata_decide(docs, monkeypatch):
+    every = substring_dup.without_repeats(docs, 13).agg({"n_removed": "sum"}).first()[0]
+    whole = substring_dup._confirmed
+
+    def half(size):
+        return lambda table: whole(size)(table).slice(9)
+
+    monkeypatch.setattr(substring_dup, "_confirmed", half)  # phrases that automata lack are not removed
+    assert 0 < substring_dup.without_repeats(docs, 13).agg({"n_removed": "sum"}).first()[0] < every
+
+
+@pytest.mark.parametrize("limit,hot,stream", [(10**6, 10**5, 10**5), (0, 10**5, 2), (10**6, 0, 3), (0, 2, 10**5)])
+def test_substring_dedup(docs, none, monkeypatch, limit, hot, stream):
     monkeypatch.setattr(substring_dup, "BROADCAST_ANCHORS", limit)
+    monkeypatch.setattr(substring_dup, "BROADCAST_CONFIRMED", limit)
+    monkeypatch.setattr(substring_dup, "HOT", hot)
+    monkeypatch.setattr(substring_dup, "STREAM", stream)
+    monkeypatch.setattr(substring_dup, "SHARD_SEGMENTS", 40)
     rows = substring_dup.without_repeats(docs, 13)
     assert rows.columns == [*docs.columns, "n_words", "n_removed", "kept_text"] and rows.count() == docs.count()
     first = {}
