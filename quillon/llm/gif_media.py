@@ -2,9 +2,10 @@
 
 The reader parses blocks, decodes LZW code streams, applies palettes,
 interlacing, transparency and disposal, and gives timed frames with colour
-histograms. The writer stores a payload as grey-palette frames of WIDTH columns;
-it clears the code table before codes grow past nine bits, so that packing, and
-the reader's short cut for such streams, are array operations.
+histograms. The writer stores a payload as LZW-compressed frames of WIDTH
+columns over a grey palette. Code widths depend only on how many codes came
+since the last clear code, so codes are packed and unpacked as arrays, and the
+reader follows pointers into its own output in place of a code table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,10 @@ from pyspark.sql import DataFrame
 
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 4096, 10
 BINS = 8
-_LITERALS = 254  # between clear codes: the table then never needs a tenth bit
+#: Codes that are unpacked at a time, and entries of a full table (fixed by the format).
+_RUN, _FULL = 4096, 4096
+#: A larger canvas or frame is taken for a damaged file.
+MOST_PIXELS = 1 << 26
 _GREY = bytes(np.repeat(np.arange(256, dtype=np.uint8), 3))
 
 
@@ -37,27 +42,46 @@ class Frame:
     pixels: np.ndarray  # height x width palette indices
 
 
-def _packed(payload: np.ndarray) -> bytes:
-    """LZW stream of literals only, with a clear code before each run, as nine-bit codes."""
-    runs = -(-len(payload) // _LITERALS)
-    codes = np.full((runs, _LITERALS + 1), 256, np.uint16)
-    body = np.full(runs * _LITERALS, 257, np.uint16)
-    body[: len(payload)] = payload
-    codes[:, 1:] = body.reshape(runs, _LITERALS)
-    n = runs + len(payload) + 1
-    flat = np.full(-(-n // 8) * 8, 0, np.uint16)
-    flat[: n - 1] = codes.ravel()[: n - 1]
-    flat[n - 1] = 257
-    eight = flat.reshape(-1, 8)
-    out = np.empty((len(eight), 9), np.uint8)
-    for j in range(9):
-        i = 8 * j // 9
-        shift = 8 * j - 9 * i
-        value = eight[:, i] >> shift
-        if i < 7 and 9 - shift < 8:
-            value = value | (eight[:, i + 1] << (9 - shift))
-        out[:, j] = value & 255
-    return out.tobytes()[: -(-9 * n // 8)]
+@lru_cache(maxsize=64)
+def _widths(least_bits: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the next _RUN codes begins (in bits) and how wide it is, `since` codes after a clear code."""
+    size = (1 << least_bits) + 2 + np.maximum(np.arange(since, since + _RUN) - 1, 0)
+    width = np.minimum(np.floor(np.log2(size)).astype(np.int64) + 1, 12)
+    return np.concatenate([[0], np.cumsum(width)[:-1]]), width
+
+
+def lzw_encode(data: bytes) -> bytes:
+    """Code stream of bytes (eight bits a sample): the table grows to its limit, then a clear code starts anew."""
+    codes, runs = [256], [1]  # codes of each stretch up to and with its clear code
+    roots = [{-1: i} for i in range(256)]  # a trie: -1 holds a node's code
+    entry, node, add = 258, roots[data[0]], codes.append
+    for c in data[1:]:
+        if c in node:
+            node = node[c]
+            continue
+        add(node[-1])
+        if entry < _FULL:
+            node[c] = {-1: entry}
+            entry += 1
+        else:
+            add(256)
+            runs.append(len(codes))
+            roots = [{-1: i} for i in range(256)]
+            entry = 258
+        node = roots[c]
+    codes += [node[-1], 257]
+    runs.append(len(codes))
+    sizes = np.diff([0, *runs])
+    widths = _widths(8, 0)[1]
+    width = np.concatenate([widths[:n] for n in sizes])
+    at = np.cumsum(width) - width
+    total = int(at[-1] + width[-1])
+    value = np.array(codes, np.uint32) << (at & 7).astype(np.uint32)
+    out = np.zeros((total >> 3) + 4, np.uint8)
+    byte = at >> 3
+    for j in range(3):  # a code lies in three bytes at most, and shares bits with none
+        np.bitwise_or.at(out, byte + j, (value >> np.uint32(8 * j) & np.uint32(255)).astype(np.uint8))
+    return out[: -(-total // 8)].tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -79,67 +103,69 @@ def write_gif(payload: bytes) -> bytes:
     samples = np.frombuffer(payload, np.uint8)
     for at in range(0, rows, FRAME_ROWS):
         part = samples[at * WIDTH : (at + FRAME_ROWS) * WIDTH]
-        out += [b"\x21\xf9\x04\x04", u16(DELAY_CS), b"\0\0", b"\x2c\0\0\0\0", u16(WIDTH), u16(len(part) // WIDTH), b"\0\x08", _sub_blocks(_packed(part))]
+        out += [b"\x21\xf9\x04\x04", u16(DELAY_CS), b"\0\0", b"\x2c\0\0\0\0", u16(WIDTH), u16(len(part) // WIDTH), b"\0\x08", _sub_blocks(lzw_encode(part.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
-def _nine_bit_literals(data: bytes) -> np.ndarray | None:
-    """Decodes a stream that keeps to nine-bit literals between clear codes; None if it does not."""
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) * 8 // 9
-    groups = -(-n // 8)
-    padded = np.zeros(groups * 9 + 1, np.uint16)
-    padded[: len(raw)] = raw[: groups * 9 + 1]
-    nine = padded[:-1].reshape(groups, 9)
-    codes = np.empty((groups, 8), np.uint16)
-    for i in range(8):
-        b, shift = divmod(9 * i, 8)
-        codes[:, i] = (nine[:, b] >> shift | nine[:, b + 1] << (8 - shift)) & 511
-    codes = codes.ravel()[:n]
-    stop = np.flatnonzero(codes >= 257)
-    if not len(stop) or codes[stop[0]] != 257 or codes[0] != 256:
-        return None
-    codes = codes[: stop[0]]
-    clear = np.flatnonzero(codes == 256)
-    if np.diff(np.append(clear, len(codes))).max() > _LITERALS + 1:
-        return None
-    return codes[codes < 256].astype(np.uint8)
+def _jumped(to: np.ndarray) -> np.ndarray:
+    """Where chains of pointers end; an end points to itself."""
+    while True:
+        further = to[to]
+        if (further == to).all():
+            return to
+        to = further
+
+
+def _expand(codes: np.ndarray, clear: int) -> bytes:
+    """What codes between two clear codes stand for, without a table: the entry that step j made is the output of step j and one byte more, so that a code copies bytes that lie further ahead in the output."""
+    n = len(codes)
+    if not n:
+        return b""
+    literal = codes < clear
+    made = np.where(literal, np.arange(n), codes - (clear + 2))  # the step that made the entry
+    if (made < 0).any() or (made > np.arange(n) - ~literal).any() or (codes >= _FULL).any():
+        raise ValueError("an LZW code names no entry")
+    # Length of each output: one more than that of the step it copies.
+    length, back = (~literal).astype(np.int64), made
+    while True:
+        further = back[back]
+        if (further == back).all():
+            break
+        length, back = length + length[back], further
+    length += 1
+    place = np.cumsum(length) - length
+    source = np.arange(int(place[-1] + length[-1])) + np.repeat(place[made] - place, length)
+    value = np.zeros(len(source), np.uint8)
+    value[place[literal]] = codes[literal] & 255
+    return value[_jumped(source)].tobytes()
 
 
 def lzw_decode(data: bytes, least_bits: int) -> bytes:
-    """Any GIF code stream: variable widths, clear and end codes, codes that name the entry being made."""
-    if least_bits == 8 and (quick := _nine_bit_literals(data)) is not None:
-        return quick.tobytes()
+    """Any GIF code stream: variable widths, clear and end codes, codes that name the entry being made, a full table that isn't cleared."""
+    if not 1 <= least_bits <= 11:
+        raise ValueError(f"LZW codes of {least_bits} bits")
     clear, end = 1 << least_bits, (1 << least_bits) + 1
-    table: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
-    width, held, bits, last = least_bits + 1, 0, 0, b""
+    raw, bits = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32), 8 * len(data)
+    at, since = 0, 0
     out: list[bytes] = []
-    for byte in data:
-        held |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = held & ((1 << width) - 1)
-            held >>= width
-            bits -= width
-            if code == clear:
-                del table[end + 1 :]
-                width, last = least_bits + 1, b""
-                continue
-            if code == end:
-                return b"".join(out)
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError(f"LZW code {code} names no entry")
-            out.append(entry)
-            if last and len(table) < 4096:
-                table.append(last + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
-            last = entry
-    return b"".join(out)
+    held: list[np.ndarray] = []  # codes since the last clear code
+    while True:
+        begin, width = _widths(least_bits, min(since, _FULL))
+        n = int(np.searchsorted(begin + width, bits - at, "right"))
+        place = at + begin[:n]
+        byte = place >> 3
+        codes = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7).astype(np.uint32) & ((1 << width[:n]) - 1).astype(np.uint32)
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(stops[0]) if len(stops) else n
+        held.append(codes[:stop].astype(np.int64))
+        if n and stop == n:
+            at, since = at + int(begin[n - 1] + width[n - 1]), since + n
+            continue
+        out.append(_expand(np.concatenate(held), clear))
+        held.clear()
+        if not n or codes[stop] == end:
+            return b"".join(out)
+        at, since = at + int(begin[stop] + width[stop]), 0
 
 
 def _joined(media: bytes, at: int) -> tuple[bytes, int]:
@@ -151,10 +177,12 @@ def _joined(media: bytes, at: int) -> tuple[bytes, int]:
 
 
 def read_gif(media: bytes) -> tuple[tuple[int, int], list[Frame]]:
-    """Canvas size and frames. Raises ValueError on what is no GIF; a file cut short gives the frames before the cut."""
-    if media[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("no GIF signature")
+    """Canvas size and frames. Raises ValueError on what is no GIF or larger than MOST_PIXELS; a file cut short gives the frames before the cut."""
+    if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
+        raise ValueError("no GIF header")
     size = (int.from_bytes(media[6:8], "little"), int.from_bytes(media[8:10], "little"))
+    if size[0] * size[1] > MOST_PIXELS:
+        raise ValueError(f"canvas of {size[0]} x {size[1]} pixels")
     flags, at = media[10], 13
     common = b""
     if flags & 128:
@@ -174,6 +202,8 @@ def read_gif(media: bytes) -> tuple[tuple[int, int], list[Frame]]:
                     clear = body[3] if body[0] & 1 else None
             elif kind == 0x2C:
                 left, top, width, height = (int.from_bytes(media[at + k : at + k + 2], "little") for k in (1, 3, 5, 7))
+                if width * height > MOST_PIXELS:
+                    raise ValueError(f"frame of {width} x {height} pixels")
                 flags, at = media[at + 9], at + 10
                 palette = common
                 if flags & 128:
@@ -197,18 +227,18 @@ def read_gif(media: bytes) -> tuple[tuple[int, int], list[Frame]]:
 
 def render(size: tuple[int, int], frames: list[Frame]) -> Iterator[np.ndarray]:
     """RGBA canvases (height x width x 4), one per frame, after disposal of the frames before."""
-    canvas = np.zeros((size[1], size[0], 4), np.uint8)
+    canvas = np.zeros((size[1], size[0]), np.uint32)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
         colours = np.zeros((256, 4), np.uint8)
-        table = np.frombuffer(f.palette, np.uint8).reshape(-1, 3)
+        table = np.frombuffer(f.palette, np.uint8, len(f.palette) // 3 * 3).reshape(-1, 3)  # a palette cut short leaves black
         colours[: len(table), :3] = table
         colours[:, 3] = 255
         part = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         pixels = f.pixels[: part.shape[0], : part.shape[1]]
-        shown = np.ones(pixels.shape, bool) if f.transparent is None else pixels != f.transparent
-        part[shown] = colours[pixels[shown]]
-        yield canvas.copy()
+        drawn = colours.view(np.uint32).ravel()[pixels]
+        part[:] = drawn if f.transparent is None else np.where(pixels != f.transparent, drawn, part)
+        yield canvas.copy().view(np.uint8).reshape(size[1], size[0], 4)
         if f.disposal == 2:
             part[:] = 0
         elif before is not None:
@@ -217,8 +247,10 @@ def render(size: tuple[int, int], frames: list[Frame]) -> Iterator[np.ndarray]:
 
 def histogram(rgba: np.ndarray) -> list[int]:
     """Counts of red, green and blue in BINS equal ranges each, of pixels that are not transparent."""
-    seen = rgba[rgba[..., 3] > 0][:, :3] // (256 // BINS)
-    return np.concatenate([np.bincount(seen[:, c], minlength=BINS) for c in range(3)]).tolist()
+    flat = rgba.reshape(-1, 4)
+    if not flat[:, 3].all():
+        flat = flat[flat[:, 3] > 0]
+    return np.concatenate([np.bincount(flat[:, c] // (256 // BINS), minlength=BINS) for c in range(3)]).tolist()
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -235,16 +267,28 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_bytes long, media binary")
 
 
+def timed_frames(media: bytes) -> Iterator[tuple[Frame, int, np.ndarray, list[int]]]:
+    """Frame, start in milliseconds, rendered canvas and its colour histogram, of each frame."""
+    size, frames = read_gif(media)
+    start = 0
+    for f, rgba in zip(frames, render(size, frames), strict=True):
+        yield f, start, rgba, histogram(rgba)
+        start += f.delay_ms
+
+
 def stored_features(media: DataFrame) -> DataFrame:
-    """Per row of `media` (doc_id, n_bytes, media): the payload read back from the GIF, its digests and its colour histogram. Null media give null columns."""
+    """Per row of `media` (doc_id, n_bytes, media): the payload read back from the GIF, its digests, and as feature its frames, duration and the colour histogram of the rendered frames (red, green, blue; BINS each). Null media give null columns."""
 
     def row(blob: bytes | None) -> tuple:
         if blob is None:
             return (None,) * 6
-        _, frames = read_gif(blob)
-        payload = b"".join(f.pixels.tobytes() for f in frames)
-        grey = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=BINS)
-        feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};grey={','.join(map(str, grey))}"
+        samples, ends, colours = [], 0, np.zeros(3 * BINS, np.int64)
+        for f, start, _, seen in timed_frames(blob):
+            samples.append(f.pixels.tobytes())
+            ends = start + f.delay_ms
+            colours += seen
+        payload = b"".join(samples)
+        feature = f"frames={len(samples)};ms={ends};rgb={','.join(map(str, colours.tolist()))}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(blob), hashlib.sha256(blob).hexdigest(), feature
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -270,13 +314,10 @@ def frames_of(media: DataFrame) -> DataFrame:
                 if not blob.is_valid:
                     continue
                 try:
-                    size, frames = read_gif(blob.as_py())
+                    for k, (f, start, rgba, seen) in enumerate(timed_frames(blob.as_py())):
+                        values = [doc_id, k, start, f.delay_ms, rgba.shape[1], rgba.shape[0], rgba.tobytes(), seen]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
                 except ValueError:
                     continue
-                start = 0
-                for k, (f, rgba) in enumerate(zip(frames, render(size, frames), strict=True)):
-                    values = [doc_id, k, start, f.delay_ms, size[0], size[1], rgba.tobytes(), histogram(rgba)]
-                    start += f.delay_ms
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
     return media.select("doc_id", "media").mapInArrow(work, "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<bigint>")
