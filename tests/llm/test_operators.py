@@ -262,6 +262,37 @@ def test_top_k(spark):
     assert top_k.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_prunes_and_stays_exact(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD", 64)
+    monkeypatch.setattr(top_k, "BLOCK", 16)
+    monkeypatch.setattr(top_k, "HEAD", 3)
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", 8 * 12 * 7)
+    rnd = np.random.Generator(np.random.PCG64(14))
+    x = rnd.normal(size=(3000, 12)) * np.exp(rnd.normal(size=(3000, 1))) * np.linspace(2, 0.1, 12)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    got = {}
+    for r in top_k.top_k(rows, k=5, every=50).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    whole = np.floor(1024 * x).astype(np.int64)
+    for q in range(0, 3000, 50):
+        score = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    search = top_k.Search(whole[:1].astype(float), np.array([0]), np.eye(12), 5)
+    taken = []
+    monkeypatch.setattr(top_k.Search, "_add", lambda self, r, i, s: taken.append(len(r)))
+    search.feed(whole.astype(float), np.arange(3000))
+    assert sum(taken) < 1500  # bounds spare most products
+
+
+def test_top_k_beyond_doubles(spark):
+    big = [(0, [1e15, 3.0]), (1, [1e15 / 1024, 1.0]), (2, [1e15 / 1024, 2.0]), (3, [-1e18, 0.0]), (4, [1e18, 0.0])]
+    got = [(r.rank, r.vec_id, r.score) for r in top_k.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    whole = {i: [int(np.floor(1024 * v)) for v in x] for i, x in big}
+    want = {i: min(max(sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), -(2**63)), 2**63 - 1) for i in (1, 2, 3, 4)}
+    assert got == [(n + 1, i, want[i]) for n, i in enumerate(sorted(want, key=lambda i: (-want[i], i)))]
+
+
 def test_trie_bpe(docs, none):
     tool = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     for r in trie_bpe.encode_texts(docs, tokenizer("word_bpe_49k.json")).where("doc_id is not null").collect():
