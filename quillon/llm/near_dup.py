@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     A null or wordless text has n_shingles 0, is linked with nothing and kept.
     A text of fewer words than a shingle has one element. A null doc_id takes
     part in no link: component_id null, kept true. Rows that share a doc_id are
-    one document for linking. Repeated rows are returned as often as they
+    one document for linking: what is linked with one of its texts is in its
+    component. Repeated rows are returned as often as they
     come; columns other than doc_id and text are not looked at. No rows in, none out.
     """
     spark = docs.sparkSession
@@ -248,7 +249,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
     pairs = stored(_likely(pairs, num, den), "pairs")
     wanted = stored(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
     sets = stored(_sets(docs, wanted, shingle, lower), "sets")
-    links = stored(_confirmed(pairs, sets, num, den), "links")
+    links = _confirmed(pairs, sets, num, den)
+    # Different texts of one doc_id are one document: their classes are linked through it.
+    texts = rows.where("digest is not null and doc_id is not null").select("doc_id", "digest")
+    several = texts.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+    same = texts.join(several, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest")
+    links = stored(links.unionByName(same.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), "links")
     labels = components(links)
 
     # Buckets in which two members that have not met may still be linked.
@@ -274,6 +280,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
         found = dealt.groupBy("whole", "key", "low", "high").applyInArrow(_forest(num, den), "u long, v long")
         labels = components(links.unionByName(stored(found, "links")))
     named = classes.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    rows = rows.select("doc_id", "n_shingles", "digest")
+    empty = rows.where("digest is null").withColumn("component_id", F.lit(None).cast("long"))  # no key to join on
+    out = rows.where("digest is not null").join(named, "digest", "left").unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -78,6 +78,70 @@ def test_large_neighbourhoods_in_blocks(docs, monkeypatch):
     assert sorted(map(tuple, near_dup.near_duplicates(docs, 3, 1, 10).collect()), key=repr) == want
 
 
+def test_texts_that_share_an_id(spark):
+    one, two = "a b c d e f g h i j k", "l m n o p q r s t u v"
+    rows = spark.createDataFrame([(1, one), (5, one), (5, two), (9, two), (7, "z"), (7, ""), (8, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(rows, 3, 85, 100).collect())
+    assert got == [(1, 9, 1, True), (5, 9, 1, False), (5, 9, 1, False), (7, 0, 7, True), (7, 1, 7, True), (8, 0, 8, True), (9, 9, 1, False)]
+
+
+def test_components_against_plain_search(spark, monkeypatch):
+    from quillon.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 3)
+    rnd = random.Random(12)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(90)]
+    rnd.shuffle(edges)
+    near = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    want = {}
+    for start in sorted(near):
+        todo = [] if start in want else [start]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo += near[x]
+    assert {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+
+
+def test_near_duplicates_recall_on_a_table(spark):
+    """All links of op1's query against an exact join over shared shingles."""
+    from quillon.llm import queries
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in table:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))) if w else frozenset()
+    of, root = {}, {i: i for i in sets}
+    for i, found in sets.items():
+        for x in found:
+            of.setdefault(x, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, found in sets.items():
+        shared = {}
+        for x in found:
+            for j in of[x]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 85 * (len(found) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = queries.op1_near_dedup(spark, "/root/testdata/sf0.01")
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+
+
 def test_sketch_estimates():
     rnd = np.random.Generator(np.random.PCG64(1))
     x = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64)
