@@ -30,8 +30,8 @@ from .storage import stored
 
 #: A style node is unimportant below this importance, if at least PAGES pages of the host show it; a text, if all but this share of the host's pages, and PAGES at least, show it.
 UNIMPORTANT, PAGES = 0.2, 5
-#: The importance table is broadcast only up to this many nodes; beyond, pages join it by host.
-BROADCAST_NODES = 100_000
+#: The importance table is broadcast only up to this many nodes; beyond, pages join it by host, a host's pages over this many keys.
+BROADCAST_NODES, HOST_KEYS = 100_000, 32
 
 # Elements by their meaning in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -349,6 +349,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             known.setdefault(r.host, set()).add(r.path)
         return rows.mapInArrow(_texts(spark.sparkContext.broadcast(known)), schema)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("paths"))
-    joined = rows.withColumn("host", host).join(by_host, "host", "left").select("page_id", "url", "html", "paths")
+    by_host = low.groupBy("host").agg(F.collect_set("path").alias("paths")).withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(HOST_KEYS - 1))))
+    keyed = rows.withColumns({"host": host, "key": F.pmod(F.xxhash64("page_id", "url"), F.lit(HOST_KEYS)).cast("int")})
+    joined = keyed.join(by_host, ["host", "key"], "left").select("page_id", "url", "html", "paths")
     return joined.mapInArrow(_texts(None), schema)

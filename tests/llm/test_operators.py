@@ -435,7 +435,9 @@ def test_html_names():
     assert html_extract.extract(f'<article>{text}<section id="comments">{text * 3}</section></article>') == text[3:-4]
 
 
-def test_html_style_tree(spark):
+@pytest.mark.parametrize("nodes", [100_000, 0])
+def test_html_style_tree(spark, monkeypatch, nodes):
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", nodes)
     one = "<body><div class=top>Same words everywhere</div><div class=text><p>Own text {0} of page {0}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", one.format(i), 1) for i in range(12)] + [(99, None, None, 1), (98, "http://h.example/x", "", 1)]
     got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()}
@@ -534,15 +536,65 @@ def test_pipeline_language_without_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left) == [(-5, "And on the that of."), (0, "Ing that of the and on.")]
 
 
+def plain_components(sets, num, den):
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 def test_pipeline(spark):
+    """run() against plain versions of its stages; the language stage takes the model's verdicts text by text."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    left = {r.doc_id: r.text for r in docs.collect()}
-    rows = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in rows} == set(left) and 100 < len(left) <= 200
+    model = lang_id.fit(docs.where(~lang_id.held_out()))
+    accepted = {r.doc_id for r in lang_id.identify(docs, model).collect() if r.accepted}
+    left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in accepted}
+    sets = {}
+    for i, t in left.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    component = plain_components(sets, 4, 5)
+    left = {i: t for i, t in left.items() if component[i] == i}
+    first = {}
+    for i in sorted(left):
+        w = words(left[i])
+        for j in range(len(w) - 12):
+            first.setdefault(tuple(w[j : j + 13]), i)
+    kept = {}
+    for i, t in left.items():
+        w = words(t)
+        gone = [False] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                gone[j : j + 13] = [True] * 13
+        if not any(gone):
+            kept[i] = t
+        elif not all(gone):
+            kept[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    stage = docs
+    for _, run in corpus_pipeline.STAGES[:-1]:
+        stage = run(spark, stage, sf)
+        assert stage.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {i: (t, len(t)) for i, t in kept.items()} and 100 < len(kept) < 200
+    tool = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(kept)
+    for i, t in kept.items():
+        ids = np.array([*tool.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        for r in pieces[i]:
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        assert sum(r.length for r in pieces[i]) == len(ids)
     assert corpus_pipeline.ORACLE_SQL is None
