@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_written: list[tuple[SparkSession, str]] = []
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to spark.checkpoint.dir (a temporary folder only where it is unset) and reads it back: lineage ends there."""
+    """Writes df to spark.checkpoint.dir and reads it back: lineage ends there. Where that is unset, a temporary folder serves in local mode; on a cluster, whose executors share no such folder, it is an error."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark, path in _written:
+        if spark.sparkContext._jsc is not None:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.clear()
