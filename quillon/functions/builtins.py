@@ -38,11 +38,11 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "str": _str, "strlen": lambda s: F.char_length(_str(s)).cast("long"), "ucase": lambda s: F.upper(_str(s)), "lcase": lambda s: F.lower(_str(s)),
     "substr": lambda s, a, n=None: F.substring(_str(s), a.cast("int"), F.lit(2**31 - 1) if n is None else n.cast("int")),
     "strstarts": lambda s, t: F.startswith(_str(s), t), "strends": lambda s, t: F.endswith(_str(s), t), "contains": lambda s, t: F.contains(_str(s), t),
-    "strbefore": lambda s, t: F.when(F.contains(s, t), F.substring_index(s, t, 1) if isinstance(t, str) else F.expr("''") if False else F.substring(s, F.lit(1), F.position(t, s) - 1)).otherwise(""),
+    "strbefore": lambda s, t: F.when(F.contains(s, t), F.substring(s, F.lit(1), F.position(t, s) - 1)).otherwise(""),
     "strafter": lambda s, t: F.when(F.contains(s, t), F.substring(s, F.position(t, s) + F.char_length(t), F.lit(2**31 - 1))).otherwise(""),
     "concat": lambda *a: F.concat(*[_str(x) for x in a]), "encode_for_uri": _uri, "replace": _replace, "regex": _regex,
     "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": _round,
-    "if": lambda c, a, b: F.when(c, a).when(~c, b), "coalesce": F.coalesce, "bound": lambda v: v.isNotNull(), "sameterm": lambda a, b: a.eqNullSafe(b),
+    "if": lambda c, a, b: F.when(c, a).when(~c, b), "coalesce": F.coalesce, "bound": lambda v: v.isNotNull(), "sameterm": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a.eqNullSafe(b)),
     "isnumeric": lambda x: F.typeof(x).isin("int", "bigint", "double", "float", "smallint") | F.startswith(F.typeof(x), F.lit("decimal")),
     "year": lambda d: F.year(d).cast("long"), "month": lambda d: F.month(d).cast("long"), "day": lambda d: F.dayofmonth(d).cast("long"), "hours": lambda d: F.hour(d).cast("long"), "minutes": lambda d: F.minute(d).cast("long"), "seconds": lambda d: F.second(d).cast("long"), "timezone": lambda d: F.lit("PT0S"), "tz": lambda d: F.lit("Z"),
     "md5": lambda s: F.md5(s.cast("binary")), "sha1": lambda s: F.sha1(s.cast("binary")), "sha256": lambda s: F.sha2(s.cast("binary"), 256), "sha384": lambda s: F.sha2(s.cast("binary"), 384), "sha512": lambda s: F.sha2(s.cast("binary"), 512),
@@ -51,7 +51,6 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "list": F.array, "size": lambda a: F.size(a).cast("long"), "get": lambda a, i: F.try_element_at(a, i.cast("int")), "head": lambda a: F.try_element_at(a, F.lit(1)), "tail": lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), "subseq": lambda a, i, n: F.slice(a, i.cast("int"), n.cast("int")), "reverse": F.reverse, "containsterm": F.array_contains, "containskey": F.map_contains_key, "keys": F.map_keys, "map": lambda *a: F.create_map(*a) if len(a) != 1 else D.map_estimate(a[0]), "merge": F.map_concat,
     "gmm": D.parse_gmm, "histogram": D.parse_hist, "gaussian": D.gaussian, "pdf": D.pdf, "cdf": D.cdf, "logpdf": D.logpdf, "logcdf": D.logcdf, "mean": lambda g: D.mean(g)[0], "std": lambda g: D.std(g)[0], "quantile": D.quantile, "modecount": D.mode_count, "modeCount": D.mode_count, "mix": D.mix, "mixture": D.mix, "fuse": D.fuse, "scale": D.scale, "shift": D.shift, "lineartransform": D.linear, "marginal": lambda g, i: D.marginal(g, i.cast("int")), "joint": D.joint, "convolve": D.convolve, "multiply": D.multiply, "confidence": D.confidence, "jsd": D.jsd, "jsdivergence": D.jsd, "kldivergence": D.kl_gaussian, "wasserstein": D.wasserstein_gaussian, "hellinger": D.hellinger_gaussian, "bhattacharyya": D.bhattacharyya_gaussian, "histmean": D.hist_mean, "histcdf": D.hist_cdf, "histjsd": D.hist_jsd, "samedistribution": lambda a, b: F.to_json(a) == F.to_json(b),
 }
-BUILTINS["strbefore"] = lambda s, t: F.when(F.contains(s, t), F.substring(s, F.lit(1), F.position(t, s) - 1)).otherwise("")
 
 
 def _literal(term: Column) -> Column:

@@ -222,11 +222,24 @@ def divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance:
     seen = Observation()
     told = pairs.withColumn("__v", rating(tolerance)(*parts))
     cut = F.col("__v.pruned")
-    told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(cut == "dim").alias("prunedDim"), F.count_if(cut == "mean").alias("prunedMean"), F.count_if(cut == "variance").alias("prunedVariance"), F.count_if(cut.isNull()).alias("fullJSD"))
+    told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(cut == "dim").alias("prunedDim"), F.count_if(cut == "mean").alias("prunedMean"), F.count_if(cut == "variance").alias("prunedVariance"), F.count_if(cut.isNull()).alias("fullJSD"), F.count_if(F.col("__v.jsd") <= tolerance).alias("resultCount"))
+    _last[:] = [seen]
     rated = told.withColumn("jsd", F.col("__v.jsd")).drop("__v", *parts)
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance), seen
 
 
+_last: list[Observation] = []
+
+
+def last_stats() -> dict[str, float] | None:
+    """Counts of the last divergence join that was planned, once it has run: of pairs that met by what decided them, of results, and the share of met pairs that needed no full divergence. Waits for the run; None if no join was planned."""
+    if not _last:
+        return None
+    seen = dict(_last[-1].get)
+    met = seen["metPairs"]
+    return seen | {"totalPairs": met, "prunedVar": seen["prunedVariance"], "computedFullJSD": seen["fullJSD"], "pruningRate": (met - seen["fullJSD"]) / met if met else 0.0}
+
+
 def pruning_rate(stats: dict[str, int], left: int, right: int) -> float:
     """Share of the left * right pairs that needed no full divergence; 0 when there are none."""
     total = left * right

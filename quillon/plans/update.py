@@ -29,6 +29,7 @@ def update(source: Quads, text: str) -> Quads:
 
 class _Requests(Parser):
     def request(self, source: Quads) -> Quads:
+        self.prologue()
         if self.take("INSERT") and self.take("DATA"):
             return source.insert(_ground(self.quads(None)))
         elif self.tokens[self.at - 1][1].upper() == "INSERT":
@@ -92,7 +93,7 @@ class _Requests(Parser):
 
 
 def _text(term: tuple | None, predicate: bool = False) -> str | None:
-    return None if term is None else TYPE if predicate and term[1] == "a" else str(term[1])
+    return None if term is None else TYPE if predicate and term[1] == "a" else f'"{term[1]}"{term[2]}' if len(term) == 3 else str(term[1])
 
 
 def _ground(quads: list[tuple]) -> DataFrame:
