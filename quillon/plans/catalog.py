@@ -12,6 +12,7 @@ from quillon.operators import algebra as A
 from quillon.operators.divergence import divjoin
 from quillon.sources.graphs import MappedTables
 
+from . import catalog_terms
 from .translate import evaluate
 
 P, A1, A2, A3, A4, A5 = D.ERF
@@ -212,8 +213,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _text(name) for name in TEXT} | {name: f for name, (f, _) in FUNCTIONS.items()}
+    return {name: _text(name) for name in TEXT} | {name: f for name, (f, _) in FUNCTIONS.items()} | catalog_terms.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in TEXT.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql}
+    return {name: sql for name, (_, sql) in TEXT.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql} | catalog_terms.oracle_sql()

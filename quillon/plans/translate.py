@@ -103,8 +103,8 @@ class Translator:
         within = getattr(self.source, "graph", None)
         if isinstance(within, tuple) and within not in [e for e, _ in items]:  # a sub-select in GRAPH ?g runs in each graph
             items.append((within, within[1]))
-            if q.group is not None:
-                q.group.append((within, within[1]))
+            if q.group is not None or any(_has_aggregate(e) for e, _ in items):
+                q.group = [*(q.group or []), (within, within[1])]
         grouped = q.group is not None or any(_has_aggregate(e) for e, _ in items)
         if grouped:
             rows = self.aggregate(rows, q, items)

@@ -11,16 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to spark.checkpoint.dir and reads it back: lineage ends there. Where that is unset, a temporary folder serves in local mode; on a cluster, whose executors share no such folder, it is an error."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a temporary folder serves in local mode; on a cluster, whose executors share no such folder, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/quillon-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
