@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +37,45 @@ def _uri(text: Column) -> Column:
     return coded
 
 
+def _tz(t: Column) -> Column:
+    """The zone as written: Z, an offset, or nothing. Timestamps of the engine are in UTC."""
+    return F.when(_str(t).rlike(r"^\d{4}-\d\d-\d\d \d"), F.lit("Z")).otherwise(F.regexp_extract(_str(t), r"(Z|[+-]\d\d:\d\d)(?:\"|$)", 1))
+
+
+def _timezone(t: Column) -> Column:
+    """The zone as a duration; null where there is none."""
+    zone = _tz(t)
+    hours, minutes = (F.regexp_extract(zone, r"^[+-](\d\d):(\d\d)$", i).try_cast("int") for i in (1, 2))
+    shown = F.concat(F.when(F.startswith(zone, F.lit("-")), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(zone == "", F.lit(None).cast("string")).when((zone == "Z") | ((hours == 0) & (minutes == 0)), "PT0S").otherwise(shown)
+
+
+def _adjusted(t: Column, zone: Column | None = None) -> Column:
+    """The same instant written with another offset (a duration; UTC without one). A time without zone is taken to be in UTC."""
+    sign = F.lit(1) if zone is None else F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+    part = lambda unit: F.lit(0) if zone is None else F.coalesce(F.regexp_extract(zone, rf"T(?:.*?[A-Z])?(\d+){unit}", 1).try_cast("int"), F.lit(0))
+    hours, minutes = part("H"), part("M")
+    at = _str(t).try_cast("timestamp") + F.make_dt_interval(hours=sign * hours, mins=sign * minutes)
+    offset = F.when((hours == 0) & (minutes == 0), "Z").otherwise(F.format_string("%s%02d:%02d", F.when(sign < 0, "-").otherwise("+"), hours, minutes))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), offset)
+
+
+def _normalized(form: str):
+    @F.pandas_udf("string")
+    def normalize(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return normalize
+
+
+def _normalize_unicode(text: Column, form: Column | None = None) -> Column:
+    """The text in a normal form of Unicode: NFC unless named; other names are null. Spark has no expression for it, so Arrow batches do it."""
+    if form is None:
+        return _normalized("NFC")(text)
+    name = F.upper(form)
+    return reduce(lambda out, f: out.when(name == f, _normalized(f)(text)), ("NFD", "NFKC", "NFKD"), F.when(name == "NFC", _normalized("NFC")(text)))
+
+
 BUILTINS: dict[str, Callable[..., Column]] = {
     "str": _str, "strlen": lambda s: F.char_length(_str(s)).cast("long"), "ucase": lambda s: F.upper(_str(s)), "lcase": lambda s: F.lower(_str(s)),
     "substr": lambda s, a, n=None: F.substring(_str(s), a.cast("int"), F.lit(2**31 - 1) if n is None else n.cast("int")),
@@ -44,7 +86,7 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": _round,
     "if": lambda c, a, b: F.when(c, a).when(~c, b), "coalesce": F.coalesce, "bound": lambda v: v.isNotNull(), "sameterm": lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a.eqNullSafe(b)),
     "isnumeric": lambda x: F.typeof(x).isin("int", "bigint", "double", "float", "smallint") | F.startswith(F.typeof(x), F.lit("decimal")),
-    "year": lambda d: F.year(d).cast("long"), "month": lambda d: F.month(d).cast("long"), "day": lambda d: F.dayofmonth(d).cast("long"), "hours": lambda d: F.hour(d).cast("long"), "minutes": lambda d: F.minute(d).cast("long"), "seconds": lambda d: F.second(d).cast("long"), "timezone": lambda d: F.lit("PT0S"), "tz": lambda d: F.lit("Z"),
+    "year": lambda d: F.year(d).cast("long"), "month": lambda d: F.month(d).cast("long"), "day": lambda d: F.dayofmonth(d).cast("long"), "hours": lambda d: F.hour(d).cast("long"), "minutes": lambda d: F.minute(d).cast("long"), "seconds": lambda d: F.extract(F.lit("SECOND"), d).cast("double"), "timezone": _timezone, "tz": _tz,
     "md5": lambda s: F.md5(s.cast("binary")), "sha1": lambda s: F.sha1(s.cast("binary")), "sha256": lambda s: F.sha2(s.cast("binary"), 256), "sha384": lambda s: F.sha2(s.cast("binary"), 384), "sha512": lambda s: F.sha2(s.cast("binary"), 512),
     "integer": lambda x: x.try_cast("long"), "double": lambda x: x.try_cast("double"), "decimal": lambda x: x.try_cast("decimal(38,10)"), "boolean": lambda x: x.try_cast("boolean"), "string": _str, "datetime": lambda x: x.try_cast("timestamp"),
     "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "log10": F.log10, "pow": F.pow, "pi": lambda: F.lit(math.pi), "e": lambda: F.lit(math.e), "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "atan2": F.atan2, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "cube": lambda x: x * x * x, "sq": lambda x: x * x, "sec": F.sec, "cosec": F.csc, "cot": F.cot, "ten": lambda x: F.pow(F.lit(10.0), x), "radianstodegrees": F.degrees, "degreestoradians": F.radians, "cartesian": lambda x, y, u, v: F.sqrt((x - u) * (x - u) + (y - v) * (y - v)), "factorial": F.factorial, "reciprocal": lambda x: F.try_divide(F.lit(1.0), x),
@@ -144,6 +186,7 @@ def sample(g: Column, n: Column, seed: int = 0) -> Column:
 
 def _divergence_by(g: Column, h: Column, mode: Column) -> Column:
     """The divergence under any of the evaluators' names, which all stand for the same quadrature; other names are errors."""
+    # The evaluators' names.
     names = ["V1_MC", "V2_STRATIFIED", "V3_SPRT", "V4_BOUNDS", "V5_ADAPTIVE", "GT_100", "GT_1K", "GT_5K", "GT_10K"]
     return F.when(mode.isin(names), D.jsd(g, h)).otherwise(F.raise_error(F.concat(F.lit("unknown mode "), mode)).cast("double"))
 
@@ -157,7 +200,7 @@ BUILTINS |= {
     "triple": lambda s, p, o: F.struct(s.alias("s"), p.alias("p"), o.alias("o")), "subject": lambda t: t["s"], "predicate": lambda t: t["p"], "object": lambda t: t["o"], "istriple": lambda t: F.startswith(F.typeof(t), F.lit("struct<s:")),
     "ceiling": BUILTINS["ceil"], "round-half-to-even": _even, "fn:round": _half_up, "string-length": BUILTINS["strlen"], "upper-case": BUILTINS["ucase"], "lower-case": BUILTINS["lcase"], "starts-with": BUILTINS["strstarts"], "ends-with": BUILTINS["strends"], "substring-before": BUILTINS["strbefore"], "substring-after": BUILTINS["strafter"], "substring": BUILTINS["substr"], "encode-for-uri": _uri, "matches": _regex,
     "normalize-space": lambda s: F.trim(F.regexp_replace(_str(s), r"[ \t\r\n]+", " ")), "string-join": lambda a, sep: F.call_function("array_join", a, sep), "format-number": lambda x, f: F.call_function("format_number", x, f), "error": lambda *a: F.raise_error(a[0] if a else F.lit("error")), "collation-key": lambda s, c: F.base64(s.cast("binary")), "datetime": lambda d, t=None: d.try_cast("timestamp") if t is None else F.concat_ws("T", _str(d), _str(t)).try_cast("timestamp"),
-    **{f"{part}-from-{kind}": BUILTINS[name] for kind in ("datetime", "date", "time") for part, name in (("year", "year"), ("month", "month"), ("day", "day"), ("hours", "hours"), ("minutes", "minutes"), ("seconds", "seconds"))}, **{f"timezone-from-{kind}": BUILTINS["timezone"] for kind in ("datetime", "date", "time")}, "implicit-timezone": lambda: F.lit("PT0S"), "systemtimezone": lambda: F.lit("PT0S"), "adjust": lambda d, z=None: d if z is None else d + F.make_dt_interval(hours=_duration(z, "H", True).cast("int"), mins=_duration(z, "M", True).cast("int")),
+    **{f"{part}-from-{kind}": BUILTINS[name] for kind in ("datetime", "date", "time") for part, name in (("year", "year"), ("month", "month"), ("day", "day"), ("hours", "hours"), ("minutes", "minutes"), ("seconds", "seconds"))}, **{f"timezone-from-{kind}": BUILTINS["timezone"] for kind in ("datetime", "date", "time")}, "implicit-timezone": lambda: F.lit("PT0S"), "systemtimezone": lambda: F.lit("PT0S"), "adjust": _adjusted, **{f"adjust-{kind}-to-timezone": _adjusted for kind in ("datetime", "date", "time")}, "adjusttotimezone": _adjusted, "normalize-unicode": _normalize_unicode,
     "years-from-duration": lambda t: _duration(t, "Y", False).cast("long"), "months-from-duration": lambda t: _duration(t, "M", False).cast("long"), "days-from-duration": lambda t: _duration(t, "D", False).cast("long"), "hours-from-duration": lambda t: _duration(t, "H", True).cast("long"), "minutes-from-duration": lambda t: _duration(t, "M", True).cast("long"), "seconds-from-duration": lambda t: _duration(t, "S", True),
     "exp10": BUILTINS["ten"], "localname": lambda t: F.regexp_extract(t, r"([^/#:]*)$", 1), "namespace": lambda t: F.regexp_extract(t, r"^(.*[/#:])[^/#:]*$", 1), "max": F.greatest, "min": F.least, "sha1sum": BUILTINS["sha1"], "sprintf": lambda f, *a: F.call_function("format_string", f, *a), "strjoin": lambda sep, *a: F.call_function("array_join", F.array(*[_str(x) for x in a]), sep), "afn:substr": _slice, "afn:substring": _slice, "eveninteger": lambda x: F.pmod(x, F.lit(2)) == 0, "date": lambda x: x.try_cast("date"), "print": lambda x: x,
     "sin1": F.asin, "cos1": F.acos, "tan1": F.atan, "sec1": lambda x: F.acos(1 / x), "cosec1": lambda x: F.asin(1 / x), "cot1": lambda x: F.atan(1 / x), "ln": F.ln, "lfn:log": lambda x, b=None: F.log10(x) if b is None else F.ln(x) / F.ln(b), "lfn:e": F.exp, "md5hash": BUILTINS["md5"], "sha256hash": BUILTINS["sha256"], "pythagoras": lambda a, b: F.hypot(a, b), "rnd": lambda a=None, b=None: F.rand() * ((F.lit(1.0) if a is None else a) if b is None else b - a) + (0 if b is None else a), "root": lambda x, n: F.pow(x, 1.0 / n), "cartesian": lambda *v: F.sqrt(sum(((a - b) * (a - b) for a, b in zip(v[: len(v) // 2], v[len(v) // 2 :], strict=True)), F.lit(0.0))),

@@ -12,7 +12,7 @@ from quillon.operators import algebra as A
 from quillon.operators.divergence import divjoin
 from quillon.sources.graphs import MappedTables
 
-from . import catalog_terms
+from . import catalog_families, catalog_terms
 from .translate import evaluate
 
 P, A1, A2, A3, A4, A5 = D.ERF
@@ -43,7 +43,7 @@ TEXT: dict[str, tuple[str, str]] = {
     "group_concat_sorted": ("SELECT ?r (GROUP_CONCAT(?n; SEPARATOR='|') AS ?names) WHERE { ?x a :nation ; :n_regionkey ?r ; :n_name ?n } GROUP BY ?r", "SELECT n_regionkey AS r, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY 1"),
     "median_variance": ("SELECT ?f (MEDIAN(?q) AS ?med) (COUNT(?q) AS ?n) (MIN(?q) AS ?lo) (MAX(?q) AS ?hi) WHERE { ?l a :lineitem ; :l_returnflag ?f ; :l_quantity ?q } GROUP BY ?f", "SELECT l_returnflag AS f, median(l_quantity) AS med, count(l_quantity) AS n, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1"),
     "mode_tie_max": ("SELECT ?b (MODE(?z) AS ?mode) WHERE { ?p a :part ; :p_brand ?b ; :p_size ?z } GROUP BY ?b", "SELECT b, max(z) AS mode FROM (SELECT p_brand AS b, p_size AS z, rank() OVER (PARTITION BY p_brand ORDER BY count(*) DESC) AS k FROM part GROUP BY 1, 2) WHERE k = 1 GROUP BY b"),
-    "fold_list": ("SELECT ?r (FOLD(?k) AS ?list) WHERE { ?x a :nation ; :n_regionkey ?r ; :n_nationkey ?k } GROUP BY ?r", ""),
+    "fold_list": ("SELECT ?r (FOLD(?k) AS ?list) WHERE { ?x a :nation ; :n_regionkey ?r ; :n_nationkey ?k } GROUP BY ?r", "SELECT n_regionkey AS r, list(n_nationkey ORDER BY n_nationkey) AS list FROM nation GROUP BY 1"),
     "sub_select": ("SELECT ?name ?total WHERE { ?c a :customer ; :c_name ?name { SELECT ?c (SUM(?p) AS ?total) WHERE { ?o a :orders ; :o_custkey ?c ; :o_totalprice ?p } GROUP BY ?c } FILTER(?total > 1000000) }", "SELECT c_name AS name, total FROM customer JOIN (SELECT o_custkey AS c, sum(o_totalprice) AS total FROM orders GROUP BY 1) ON c=c_custkey WHERE total > 1000000"),
     "bind_coalesce": ("SELECT ?p ?label WHERE { ?x a :part ; :p_partkey ?p ; :p_name ?n ; :p_size ?z BIND(IF(?z > 25, UCASE(?n), CONCAT('small ', ?n)) AS ?label) }", "SELECT p_partkey AS p, CASE WHEN p_size > 25 THEN upper(p_name) ELSE 'small ' || p_name END AS label FROM part"),
     "string_functions": ("SELECT ?c (STRLEN(?n) AS ?len) (SUBSTR(?n, 3, 4) AS ?sub) (STRBEFORE(?n, '#') AS ?pre) (STRAFTER(?n, '#') AS ?post) (CONTAINS(?n, '1') AS ?has) (REPLACE(?n, '0+', '-') AS ?rep) (LCASE(?n) AS ?low) WHERE { ?c a :customer ; :c_name ?n }", "SELECT c_custkey AS c, length(c_name) AS len, substr(c_name,3,4) AS sub, CASE WHEN contains(c_name,'#') THEN split_part(c_name,'#',1) ELSE '' END AS pre, CASE WHEN contains(c_name,'#') THEN substr(c_name, strpos(c_name,'#')+1) ELSE '' END AS post, contains(c_name,'1') AS has, regexp_replace(c_name,'0+','-','g') AS rep, lower(c_name) AS low FROM customer"),
@@ -213,8 +213,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _text(name) for name in TEXT} | {name: f for name, (f, _) in FUNCTIONS.items()} | catalog_terms.queries()
+    return {name: _text(name) for name in TEXT} | {name: f for name, (f, _) in FUNCTIONS.items()} | catalog_terms.queries() | catalog_families.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in TEXT.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql} | catalog_terms.oracle_sql()
+    return {name: sql for name, (_, sql) in TEXT.items() if sql} | {name: sql for name, (_, sql) in FUNCTIONS.items() if sql} | catalog_terms.oracle_sql() | catalog_families.oracle_sql()

@@ -46,7 +46,7 @@ def evaluate(source, text: str, union_default: bool = False, describe: Callable
 #: Functions whose string arguments count as text, as numbers, or as times. In quads, terms are strings with quotes and suffix.
 _TEXTUAL = frozenset("str strlen ucase lcase substr strstarts strends contains strbefore strafter concat encode_for_uri replace regex md5 sha1 sha224 sha256 sha384 sha512 normalize-space upper-case lower-case string-length starts-with ends-with substring substring-before substring-after".split())
 _NUMERIC = frozenset("abs ceil floor round ceiling sqrt exp log log10 pow sin cos tan asin acos atan idiv mod sq cube".split())
-_TIMES = frozenset("year month day hours minutes seconds".split())
+_TIMES = frozenset([*"year month day hours minutes seconds".split(), *[f"{part}-from-{kind}" for kind in ("datetime", "date", "time") for part in ("year", "month", "day", "hours", "minutes", "seconds")]])
 
 
 def _is_number(kind: str) -> bool:
@@ -176,7 +176,7 @@ class Translator:
                 return F.count_distinct(F.struct(*[F.col(f"`{v}`") for v in rows.vars])) if distinct else F.count("*")
             return F.count_distinct(self.value(args[0], rows)) if distinct else F.count(self.value(args[0], rows))
         x = self.value(args[0], rows)
-        if name not in ("fold", "group_concat", "min", "max", "sample") and self.kinds(rows, x) == ["string"]:
+        if name in ("sum", "avg", "median", "stdev", "stdev_samp", "stdev_pop", "variance", "var_samp", "var_pop") and self.kinds(rows, x) == ["string"]:
             x = _number(x)
         if name == "fold":
             if len(args) == 2:  # a map; of a repeated key the last by the order counts
@@ -621,14 +621,15 @@ def described(source, nodes: DataFrame) -> DataFrame:
 
 def _mode(x: Column) -> Column:
     """Most frequent value, the greatest of those that tie: one pass over the sorted group."""
-    start = F.struct(F.lit(0).alias("most"), F.lit(0).alias("n"), F.lit(-1).alias("best"), F.lit(0).alias("at"))
     values = F.array_sort(F.collect_list(x))
+    any_ = F.array_max(values)
+    start = F.struct(F.lit(0).alias("most"), F.lit(0).alias("n"), any_.alias("last"), any_.alias("best"))
 
     def step(s: Column, v: Column) -> Column:
-        n = F.when((s["at"] > 0) & (F.get(values, s["at"] - 1) == v), s["n"] + 1).otherwise(F.lit(1))
-        return F.struct(F.greatest(s["most"], n).alias("most"), n.alias("n"), F.when(n >= s["most"], s["at"]).otherwise(s["best"]).alias("best"), (s["at"] + 1).alias("at"))
+        n = F.when((s["n"] > 0) & (s["last"] == v), s["n"] + 1).otherwise(F.lit(1))
+        return F.struct(F.greatest(s["most"], n).alias("most"), n.alias("n"), v.alias("last"), F.when(n >= s["most"], v).otherwise(s["best"]).alias("best"))
 
-    return F.get(values, F.aggregate(values, start, step, lambda s: s["best"]))
+    return F.aggregate(values, start, step, lambda s: s["best"])
 
 
 def _aggregates(e: tuple) -> bool:
