@@ -21,13 +21,12 @@ quarter of all words start one. Steps:
 5. Documents lose the covered words.
 
 Recurring anchors reach the second scan by broadcast if there are at most
-BROADCAST_ANCHORS of them (9 bytes each), else by a shuffled join; both ways
-give the same rows. Comparing real words in steps 3 and 4 makes hashes mere hints.
+BROADCAST_ANCHORS of them (9 bytes each), else by a shuffled join, and so do
+confirmed ones to step 4; both ways give the same rows. Comparing real words in steps 3 and 4 makes hashes mere hints.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,13 +41,11 @@ from .words import Words, flat_text, mix, row_chunks
 ANCHOR = 6
 #: 36 MB; beyond it the anchors travel by a join.
 BROADCAST_ANCHORS = 4_000_000
-#: Confirmed anchors that filter segments by a broadcast (some 50 MB); beyond, a shuffled join.
-BROADCAST_CONFIRMED = 1_000_000
 RUN = 32
 #: Places from which an anchor's windows are keyed by their own hashes.
 HOT = 100_000
-#: Distinct segments of a shard, by which shards are counted, and segments that stream through one task.
-SHARD_SEGMENTS, STREAM = 4_000, 30_000
+#: Segments of a shard, by which shards are counted, and segments that stream through one task.
+SHARD_SEGMENTS, STREAM = 10_000, 40_000
 
 
 def _anchored(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +135,10 @@ def _segment_rows(size: int, known):
                 start = at[first]
                 raw = words.seg.tobytes()
                 texts = [b" ".join(raw[i:j].split()) for i, j in zip(words.starts[start].tolist(), words.ends[start + many + size - 2].tolist(), strict=True)]
-                marks = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
                 place = start - words.bounds[row[first]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ids[a + row[first]], pa.int64()), pa.array(stamps[a + row[first]], pa.int64()), pa.array(place, pa.int32()), pa.array(marks, pa.binary()), pa.array(texts, pa.binary())],
-                    names=["anchor", "doc_id", "stamp", "place", "mark", "words"],
+                    [pa.array(key), pa.array(ids[a + row[first]], pa.int64()), pa.array(stamps[a + row[first]], pa.int64()), pa.array(place, pa.int32()), pa.array(texts, pa.binary())],
+                    names=["anchor", "doc_id", "stamp", "place", "words"],
                 )
 
     return work
@@ -159,6 +155,16 @@ def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, group.ravel()
 
 
+def _matching(known):
+    """Segments whose anchor is in the broadcast sorted array."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_found(batch.column(0).to_numpy(), known.value)[0]))
+
+    return work
+
+
 def _confirmed(size: int):
     """One shard: distinct segments (anchor, words, low, high) -> phrases (shard, anchor, words, firsts): every window that stands in two documents, once, with its first document."""
 
@@ -235,7 +241,7 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
     anchors = rows.select("doc_id", "text").mapInArrow(_anchor_rows(size), "anchor long, doc_id long")
     groups = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     recurring = stored(groups.where("low < high").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
-    schema = "anchor long, doc_id long, stamp long, place int, mark binary, words binary"
+    schema = "anchor long, doc_id long, stamp long, place int, words binary"
     if recurring.count() <= BROADCAST_ANCHORS:
         table = recurring.toArrow()
         value, hot = table.column("anchor").to_numpy(), table.column("hot").to_numpy()
@@ -245,15 +251,19 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
         held = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hots"))
         segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors", "hots").mapInArrow(_segment_rows(size, None), schema)
     segments = stored(segments, "segments")
-    distinct = segments.groupBy("anchor", "mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.any_value("words").alias("words"))
-    distinct = stored(distinct.drop("mark"), "distinct")
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-distinct.count() // SHARD_SEGMENTS))))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-segments.count() // SHARD_SEGMENTS))))
+    distinct = segments.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     confirmed = distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(_confirmed(size), "shard long, anchor long, words binary, firsts array<bigint>")
     phrases = stored(confirmed, "phrases")
     matter = stored(phrases.select("anchor").distinct(), "confirmed")
-    matter = F.broadcast(matter) if matter.count() <= BROADCAST_CONFIRMED else matter
-    streams = segments.select("anchor", "doc_id", "stamp", "place", "words").join(matter, "anchor", "left_semi").withColumn("shard", shard)
-    crowded = stored(streams.groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts")).where("salts > 1"), "crowded")
+    streams = segments
+    if matter.count() <= BROADCAST_ANCHORS:
+        known = spark.sparkContext.broadcast(np.sort(matter.toArrow().column(0).to_numpy()))
+        streams = streams.mapInArrow(_matching(known), schema)
+    else:
+        streams = streams.join(matter, "anchor", "left_semi")
+    streams = streams.withColumn("shard", shard).drop("anchor")
+    crowded = stored(segments.select(shard.alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts")).where("salts > 1"), "crowded")
     salts = F.coalesce("salts", F.lit(1))
     streams = streams.join(crowded, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), salts).cast("int")).select("shard", "salt", "doc_id", "stamp", "place", "words")
     keys = phrases.join(crowded, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt", "words", "firsts")

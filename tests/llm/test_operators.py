@@ -166,7 +166,6 @@ def test_substring_automata_decide(docs, monkeypatch):
 @pytest.mark.parametrize("limit,hot,stream", [(10**6, 10**5, 10**5), (0, 10**5, 2), (10**6, 0, 3), (0, 2, 10**5)])
 def test_substring_dedup(docs, none, monkeypatch, limit, hot, stream):
     monkeypatch.setattr(substring_dup, "BROADCAST_ANCHORS", limit)
-    monkeypatch.setattr(substring_dup, "BROADCAST_CONFIRMED", limit)
     monkeypatch.setattr(substring_dup, "HOT", hot)
     monkeypatch.setattr(substring_dup, "STREAM", stream)
     monkeypatch.setattr(substring_dup, "SHARD_SEGMENTS", 40)
