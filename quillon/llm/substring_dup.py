@@ -9,20 +9,23 @@ quarter of all words start one. Steps:
    HOT places is too common to be worked as one: its windows are keyed by their
    own hash instead, which equal windows share as well.
 2. Second scan: runs of windows with a recurring anchor become segments
-   (anchor, document, place, words). Equal segments are merged by a partial
-   aggregate that keeps their smallest and largest document.
+   (anchor, document, place, words). Equal segments are merged within COMBINE
+   bytes, then within their shard, with their smallest and largest document.
 3. Confirmation, in shards of anchors: windows that stand in two documents, by
    real words, become phrases with the first document of each window; windows
    that always occur side by side are one phrase. What doesn't recur ends here.
 4. Location: a shard's phrases are compiled, as sequences of word numbers, to an
-   Aho-Corasick automaton, and the segments of all documents stream through it.
+   Aho-Corasick automaton, and the segments of all documents stream through it,
+   but for those no document stands before: the first one of all phrases of an
+   anchor loses nothing there.
    Each occurrence behind its window's first document is one to remove. A shard
    with many segments is dealt over several tasks, each with the automaton.
-5. Documents lose the covered words.
+5. Documents lose the covered words. Only texts that lose some are shuffled.
 
 Recurring anchors reach the second scan by broadcast if there are at most
 BROADCAST_ANCHORS of them (9 bytes each), else by a shuffled join, and so do
-confirmed ones to step 4; both ways give the same rows. Comparing real words in steps 3 and 4 makes hashes mere hints.
+confirmed ones to step 4 (16 bytes) and the keys of texts to step 5; both ways
+give the same rows. Comparing real words in steps 3 and 4 makes hashes mere hints.
 """
 
 from __future__ import annotations
@@ -39,13 +42,15 @@ from .storage import stored
 from .words import Words, flat_text, mix, row_chunks
 
 ANCHOR = 6
-#: 36 MB; beyond it the anchors travel by a join.
+#: At most 64 MB; beyond it anchors and keys travel by a join.
 BROADCAST_ANCHORS = 4_000_000
 RUN = 32
 #: Places from which an anchor's windows are keyed by their own hashes.
 HOT = 100_000
 #: Segments of a shard, by which shards are counted, and segments that stream through one task.
 SHARD_SEGMENTS, STREAM = 10_000, 40_000
+#: Bytes of segments within which equal ones are merged before they are shuffled.
+COMBINE = 32 << 20
 
 
 def _anchored(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +160,35 @@ def _equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, group.ravel()
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, words, doc_id) -> (anchor, words, low, high): equal segments within COMBINE bytes as one."""
+
+    def merged() -> list[pa.RecordBatch]:
+        found = pa.Table.from_batches(held).group_by(["anchor", "words"]).aggregate([("doc_id", "min"), ("doc_id", "max")])
+        return found.select(["anchor", "words", "doc_id_min", "doc_id_max"]).rename_columns(["anchor", "words", "low", "high"]).to_batches(10_000)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= COMBINE:
+            yield from merged()
+            held, size = [], 0
+    if held:
+        yield from merged()
+
+
 def _matching(known):
-    """Segments whose anchor is in the broadcast sorted array."""
+    """Segments whose anchor is in the broadcast sorted array and whose document is behind the anchor's first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_found(batch.column(0).to_numpy(), known.value)[0]))
+            anchors, first = known.value
+            hit, spot = _found(batch.column(0).to_numpy(), anchors)
+            if len(anchors):
+                hit &= batch.column(1).to_numpy() > first[spot]
+            yield batch.filter(pa.array(hit))
 
     return work
 
@@ -252,16 +280,19 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
         segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors", "hots").mapInArrow(_segment_rows(size, None), schema)
     segments = stored(segments, "segments")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-segments.count() // SHARD_SEGMENTS))))
-    distinct = segments.groupBy("anchor", "words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    confirmed = distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(_confirmed(size), "shard long, anchor long, words binary, firsts array<bigint>")
+    # One exchange, by shard, serves both groupings.
+    merged = segments.select("anchor", "words", "doc_id").mapInArrow(_combined, "anchor long, words binary, low long, high long")
+    distinct = merged.withColumn("shard", shard).repartition("shard").groupBy("shard", "anchor", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    confirmed = distinct.groupBy("shard").applyInArrow(_confirmed(size), "shard long, anchor long, words binary, firsts array<bigint>")
     phrases = stored(confirmed, "phrases")
-    matter = stored(phrases.select("anchor").distinct(), "confirmed")
-    streams = segments
+    matter = stored(phrases.groupBy("anchor").agg(F.min(F.array_min("firsts")).alias("first")), "confirmed")
     if matter.count() <= BROADCAST_ANCHORS:
-        known = spark.sparkContext.broadcast(np.sort(matter.toArrow().column(0).to_numpy()))
-        streams = streams.mapInArrow(_matching(known), schema)
+        table = matter.toArrow()
+        value, first = table.column("anchor").to_numpy(), table.column("first").to_numpy()
+        order = np.argsort(value)
+        streams = segments.mapInArrow(_matching(spark.sparkContext.broadcast((value[order], first[order]))), schema)
     else:
-        streams = streams.join(matter, "anchor", "left_semi")
+        streams = segments.join(matter, "anchor").where("doc_id > first").drop("first")
     streams = streams.withColumn("shard", shard).drop("anchor")
     crowded = stored(segments.select(shard.alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / STREAM).cast("int").alias("salts")).where("salts > 1"), "crowded")
     salts = F.coalesce("salts", F.lit(1))
@@ -293,9 +324,14 @@ def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     names, kinds = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    places = repeated_places(docs, size)
     key, stamp, hits = "__key", "__stamp", "__places"
-    both = docs.withColumns({key: F.col("doc_id"), stamp: F.xxhash64("text")}).join(places.toDF(key, stamp, hits), [key, stamp], "left").select(*[F.col(f"`{n}`") for n in names], hits)
+    places = stored(repeated_places(docs, size).toDF(key, stamp, hits), "places")
+    marked, columns = docs.withColumns({key: F.col("doc_id"), stamp: F.xxhash64("text")}), [F.col(f"`{n}`") for n in names]
+    both = marked.join(places, [key, stamp], "left").select(*columns, hits)
+    if places.count() <= BROADCAST_ANCHORS:
+        losing = F.broadcast(places.select(key, stamp))
+        some = marked.join(losing, [key, stamp], "left_semi").join(places, [key, stamp]).select(*columns, hits)
+        both = some.unionByName(marked.join(losing, [key, stamp], "left_anti").select(*columns, F.lit(None).cast("array<int>").alias(hits)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
