@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import give_back
 from .words import flat_text, mix, row_chunks
 
 DIM, GRAMS, CENTROIDS, STEPS = 4096, (2, 3, 4), 4, 12
@@ -91,6 +92,15 @@ def _cosines(found: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return _unit(np.sqrt(found) * m.idf) @ m.centroids.T, (2 * np.log2(size)).astype(int)
 
 
+def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """Each row's bytes as numbers, without a copy."""
+    out = []
+    for chunk in column.chunks:
+        data, offsets = flat_text(chunk)
+        out += [data[a:b].view(kind) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return out
+
+
 def _lettered(texts: pa.Array) -> np.ndarray:
     return np.array([t.is_valid and _LETTER.search(t.as_py()) is not None for t in texts], bool)
 
@@ -173,8 +183,7 @@ def fit(docs: DataFrame) -> Model | None:
 
     table = picked.select("doc_id", "text", "lang").mapInArrow(work, "doc_id long, lang string, spots binary, grams binary").orderBy("doc_id", "lang", "grams").toArrow()
     lang = np.array(table.column("lang").to_pylist(), object)
-    spots = [np.frombuffer(s, np.uint16) for s in table.column("spots").to_pylist()]
-    grams = [np.frombuffer(g, np.float32) for g in table.column("grams").to_pylist()]
+    spots, grams = _views(table.column("spots"), np.uint16), _views(table.column("grams"), np.float32)
     if not any(len(s) for s in spots):
         return None
     idf = np.log((1 + len(spots)) / (1 + np.bincount(np.concatenate(spots), minlength=DIM))) + 1
@@ -193,6 +202,8 @@ def fit(docs: DataFrame) -> Model | None:
     if not names:
         return None
     model = Model(names, np.concatenate(centres), idf, np.zeros((len(names), SIZES)))
+    del table, spots, grams, x
+    give_back()
     bounds = _bounds(_seen(rows, model))
     model.least = np.stack([bounds[name] for name in names])
     return model
