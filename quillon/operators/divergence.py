@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +19,8 @@ REACH, SAMPLES, SEED = 8, 10_000, 20_240
 #: Left rows of a grid cell that are met in one task.
 BLOCK = 512
 NODES = np.polynomial.legendre.leggauss(8)
+#: Greatest error and degree of the polynomial that stands for the divergence of near normal distributions.
+EXACT, DEGREE = 1e-13, 10
 
 
 def hist_divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance: float, strict: bool = False) -> DataFrame:
@@ -98,6 +101,18 @@ def _dealt(side: DataFrame, levels: list[int], owner: str) -> DataFrame:
     return here.withColumn("__role", F.explode(roles)).withColumn("__cell", F.explode(F.sequence(first, last))).drop("__level")
 
 
+def _met(ours: DataFrame, there: DataFrame, names: list[str], left: DataFrame) -> DataFrame:
+    """The equi-join of dealt sides with column __block. Crowded cells are met in blocks of left rows, each with all right rows of the cell, so that no cell is one task. A merge join that keeps the block's rows at hand: how often right rows are dealt is nothing Spark can foresee, so it might send them to all."""
+    plain = [F.col(f"`{n}`") for n, t in left.dtypes if "map<" not in t]
+    blocks = ours.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
+    ours = ours.join(blocks, names).withColumn("__block", F.pmod(F.xxhash64(*plain), F.col("__blocks")).cast("int")).drop("__blocks")
+    there = there.join(blocks, names).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
+    names = [*names, "__block"]
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = there.repartition(parts, *names).hint("merge").join(ours.repartition(parts, *names), names)
+    return met.select(*dict.fromkeys([*names, *ours.columns, *there.columns]))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
     """Every pair whose divergence can be within the tolerance, each once: an equi-join over grid cells, not a product of the sides.
 
@@ -117,14 +132,7 @@ def near_pairs(left: DataFrame, right: DataFrame, lvar: str, rvar: str, toleranc
         levels = [0]
     names = [*(keys or []), "__role", "__at", "__cell"]
     ours, there = _dealt(a, levels, "left"), _dealt(b, levels, "right").withColumnsRenamed({"__lo": "__lo2", "__hi": "__hi2"})
-    # Crowded cells are met in blocks of left rows, each with all right rows of the cell, so that no cell is one task.
-    plain = [F.col(f"`{n}`") for n, t in left.dtypes if "map<" not in t]
-    blocks = ours.groupBy(*names).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__blocks"))
-    ours = ours.join(blocks, names).withColumn("__block", F.pmod(F.xxhash64(*plain), F.col("__blocks")).cast("int")).drop("__blocks")
-    there = there.join(blocks, names).withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).drop("__blocks")
-    names.append("__block")
-    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = ours.repartition(parts, *names).join(there.repartition(parts, *names), names)
+    met = _met(ours, there, names, left)
     begin = F.greatest("__lo", "__lo2")
     once = (begin <= F.least("__hi", "__hi2")) & (_cell(begin, F.col("__at")) == F.col("__cell"))
     return met.where(once).drop("__lo", "__hi", "__lo2", "__hi2", "__at", "__role", "__cell", "__block")
@@ -214,17 +222,128 @@ def rating(tolerance: float):
     return rate
 
 
-def divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance: float, strict: bool = False, keys: list[str] | None = None) -> tuple[DataFrame, Observation]:
-    """Pairs of mixtures whose Jensen-Shannon divergence is at most `tolerance`; shared `keys` make it an equi-join on those. Overlap of central intervals selects the pairs that meet at all, then cheap bounds decide; the observation counts the pairs that met by what decided them (pairs that never met are pruned by the mean bound)."""
-    sides = [side.select("*", *[c.alias(f"__{tag}{i}") for i, c in enumerate(_parameters(var))]) for side, var, tag in ((left, lvar, "p"), (right, rvar, "q"))]
-    pairs = near_pairs(*sides, lvar, rvar, tolerance, keys)
-    parts = [f"__{tag}{i}" for tag in "pq" for i in range(3)]
-    seen = Observation()
-    told = pairs.withColumn("__v", rating(tolerance)(*parts))
-    cut = F.col("__v.pruned")
-    told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(cut == "dim").alias("prunedDim"), F.count_if(cut == "mean").alias("prunedMean"), F.count_if(cut == "variance").alias("prunedVariance"), F.count_if(cut.isNull()).alias("fullJSD"), F.count_if(F.col("__v.jsd") <= tolerance).alias("resultCount"))
-    _last[:] = [seen]
-    rated = told.withColumn("jsd", F.col("__v.jsd")).drop("__v", *parts)
+def _normal_jsd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Divergence of two normal distributions of which (m - n)^2 / (s t) = x and ln(t / s)^2 = y: these two decide it."""
+    one, root = np.ones((len(x), 1)), np.sqrt(y)[:, None]
+    return _flat_jsd(one, 0 * one, np.exp(-root / 2), one, np.sqrt(x)[:, None], np.exp(root / 2))
+
+
+@lru_cache(maxsize=16)
+def _curve(tolerance: float) -> tuple[float, float, dict[tuple[int, int], float]] | None:
+    """Greatest x and y (see _normal_jsd) of pairs of normal distributions within the tolerance, and the coefficients of a polynomial of x and y, in these units, that is within EXACT of their divergence; None for tolerances it can't serve.
+
+    A divergence of at most t bounds the squared Hellinger distance by 2 t, and
+    so x / (8 cosh ln(t / s)) + ln(cosh ln(t / s)) / 2 by b = -ln(1 - 2 t); for
+    b < 1/2 then x <= 8 b. In that box the divergence grows with x and with y.
+    """
+    if not 1e-6 <= tolerance <= 0.02:
+        return None
+    b = -math.log1p(-2 * tolerance)
+    tops = []
+    for top, at in ((8 * b, lambda v: (v, 0.0)), (math.acosh(math.exp(2 * b)) ** 2, lambda v: (0.0, v))):
+        low, high = 0.0, top
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if _normal_jsd(*(np.array([v]) for v in at(mid)))[0] <= tolerance else (low, mid)
+        tops.append(high * (1 + 1e-6))
+    exact = lambda at: _normal_jsd(at[:, 0] * tops[0], at[:, 1] * tops[1])
+    knots = (1 - np.cos(np.pi * (np.arange(16) + 0.5) / 16)) / 2
+    known = np.array([(p, q) for p in knots for q in knots])
+    tried = np.random.default_rng(SEED).random((2000, 2))
+    want, held = exact(known), exact(tried)
+    for degree in range(2, DEGREE + 1):
+        powers = [(i, j) for i in range(degree + 1) for j in range(degree + 1 - i) if i + j]
+        terms = lambda at: np.stack([at[:, 0] ** i * at[:, 1] ** j for i, j in powers], 1)  # noqa: B023, E731
+        found = np.linalg.lstsq(terms(known), want, rcond=None)[0]
+        if max(np.abs(terms(known) @ found - want).max(), np.abs(terms(tried) @ found - held).max()) <= EXACT:
+            return tops[0], tops[1], {k: float(v) for k, v in zip(powers, found, strict=True)}
+    return None
+
+
+def _is_normal(g: Column) -> Column:
+    """Whether the value is one normal distribution in one dimension, of a mean and deviation that _normal_pairs can deal over cells."""
+    first = lambda a: F.get(a, F.lit(0))
+    mean, var = first(first(g["means"])), first(first(first(g["covs"])))
+    one = (g["d"] == 1) & (first(g["weights"]) == 1.0)
+    for a in (g["weights"], g["means"], g["covs"]):
+        one = one & (F.size(a) == 1)
+    return F.coalesce(one & var.between(1e-200, 1e200) & (F.abs(mean) <= 1e9 * F.sqrt(var)), F.lit(False))
+
+
+def _normal_pairs(left: DataFrame, right: DataFrame, lvar: str, rvar: str, curve: tuple, keys: list[str], on: Column, observed: bool) -> DataFrame:
+    """Pairs of normal distributions that share a cell and that `on` holds for, each once, with __cut (the bound that rejects the pair) and jsd, all native expressions; not `observed`, only pairs no bound rejects.
+
+    Bands of the logarithm of the deviation, and in each cells of the mean, are
+    as wide as pairs within the tolerance can lie apart; right rows go to the
+    three bands and three cells that left rows near them are in.
+    """
+    wide, tall = math.sqrt(curve[0]), math.sqrt(curve[1])
+
+    def placed(side: DataFrame, var: str, tag: str) -> DataFrame:
+        g = F.col(var)
+        values = {"m": g["means"][0][0], "i": F.pow(g["covs"][0][0][0], F.lit(-0.5)) / wide, "l": F.ln(g["covs"][0][0][0]) / (2 * tall)}
+        return side.withColumns({f"__{k}{tag}": F.coalesce(v, F.lit(0.0)) for k, v in values.items()})  # never null here; so Spark knows
+
+    cell = lambda mean: F.floor(F.col(mean) / (wide * F.exp((F.col("__band") + 1.5) * tall))).cast("long")
+    near = lambda n: F.explode(F.sequence(n - 1, n + 1))
+    ours = placed(left, lvar, "1").withColumn("__band", F.floor("__l1").cast("long")).withColumn("__cell", cell("__m1"))
+    there = placed(right, rvar, "2").withColumn("__band", near(F.floor("__l2").cast("long"))).withColumn("__cell", near(cell("__m2")))
+    met = _met(ours, there, [*keys, "__band", "__cell"], left).drop("__band", "__cell", "__block").where(on)
+    gap, ratio = F.col("__m1") - F.col("__m2"), F.col("__l1") - F.col("__l2")
+    x, y = gap * gap * (F.col("__i1") * F.col("__i2")), ratio * ratio
+    if not observed:
+        met = met.where((x <= 1) & (y <= 1))
+    # An expression Spark must not move: else it writes x and y out at each of their places in the polynomial, and that in every condition, and such code is too long to be compiled.
+    kept = lambda v: F.when(F.spark_partition_id() >= 0, v).otherwise(F.lit(0.0))
+    met = met.withColumns({"__x": kept(x), "__y": kept(y)})
+    x, y = F.col("__x"), F.col("__y")
+    degree, jsd = max(i for i, _ in curve[2]), F.lit(0.0)
+    for i in range(degree, -1, -1):
+        inner = F.lit(0.0)
+        for j in range(degree - i, -1, -1):
+            c = F.lit(curve[2].get((i, j), 0.0))
+            inner = c if j == degree - i else inner * y + c
+        jsd = inner if i == degree else jsd * x + inner
+    cut = F.when(x > 1, F.lit("mean")).when(y > 1, F.lit("variance")) if observed else F.lit(None).cast("string")
+    rated = met.withColumns({"__cut": cut, "jsd": kept(F.greatest(jsd, F.lit(0.0)))})
+    if observed:
+        rated = rated.withColumn("jsd", F.when(F.col("__cut").isNull(), F.col("jsd")))
+    return rated.drop("__x", "__y", *[f"__{k}{tag}" for k in "mil" for tag in "12"])
+
+
+def divjoin(left: DataFrame, right: DataFrame, lvar: str, rvar: str, tolerance: float, strict: bool = False, keys: list[str] | None = None, on: Column | None = None, observed: bool = True) -> tuple[DataFrame, Observation | None]:
+    """Pairs of mixtures whose Jensen-Shannon divergence is at most `tolerance`; shared `keys` make it an equi-join on those, and only pairs count for which `on` holds, if given. Overlap of central intervals selects the pairs that meet at all, then cheap bounds decide; the observation counts the pairs that met by what decided them (pairs that never met are pruned by the mean bound).
+
+    At small tolerances pairs of single normal distributions are joined apart,
+    without Python: two numbers decide their divergence. Counting every pair
+    that met costs more than the divergence there; not `observed`, none is counted.
+    """
+
+    def general(left: DataFrame, right: DataFrame) -> DataFrame:
+        sides = [side.select("*", *[c.alias(f"__{tag}{i}") for i, c in enumerate(_parameters(var))]) for side, var, tag in ((left, lvar, "p"), (right, rvar, "q"))]
+        parts = [f"__{tag}{i}" for tag in "pq" for i in range(3)]
+        told = near_pairs(*sides, lvar, rvar, tolerance, keys).where(on).withColumn("__v", rating(tolerance)(*parts))
+        return told.withColumn("__cut", F.col("__v.pruned")).withColumn("jsd", F.col("__v.jsd")).drop("__v", *parts)
+
+    on, curve = F.lit(True) if on is None else on, _curve(tolerance)
+    if curve is None:
+        found = [general(left, right)]
+    else:
+        (mine, odd), (theirs, odd2) = ((side.where(_is_normal(F.col(var))), side.where(~_is_normal(F.col(var)) & F.col(var).isNotNull())) for side, var in ((left, lvar), (right, rvar)))
+        found = [_normal_pairs(mine, theirs, lvar, rvar, curve, keys or [], on, observed)]
+        if not odd.isEmpty():
+            found.append(general(odd, right))
+        if not odd2.isEmpty():
+            found.append(general(mine, odd2))
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    seen = None
+    if observed:
+        seen, cut = Observation(), F.col("__cut")
+        told = told.observe(seen, F.count("*").alias("metPairs"), F.count_if(cut == "dim").alias("prunedDim"), F.count_if(cut == "mean").alias("prunedMean"), F.count_if(cut == "variance").alias("prunedVariance"), F.count_if(cut.isNull()).alias("fullJSD"), F.count_if(F.col("jsd") <= tolerance).alias("resultCount"))
+        _last[:] = [seen]
+    rated = told.drop("__cut")
     return rated.where(F.col("jsd") < tolerance if strict else F.col("jsd") <= tolerance), seen
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import distributions as D
@@ -118,12 +118,19 @@ def hist_divjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(left, right, "x", "y", 0.0005).where("a < b").select("a", "b", F.round("jsd", 7).alias("jsd"))
 
 
+def _rounded(x: Column, places: int) -> Column:
+    """F.round of a finite number that isn't negative. F.round goes by decimal digits, some microseconds a row; here it is asked near halves only, where the digits decide."""
+    large = x * 10.0**places
+    near_half = F.abs(large - F.floor(large) - 0.5) < 1e-6
+    return F.when(near_half | (large > 1e9), F.round(x, places)).otherwise(F.floor(large + 0.5) / F.lit(10.0**places))
+
+
 def gauss_divjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of users whose value distributions are alike; interval cells and the pruning cascade decide first."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.count("*").alias("n")).where("n > 1 and s > 0")
     side = users.select("user_id", D.gaussian(F.col("m"), F.col("s")).alias("g"))
-    pairs, _ = divjoin(side.toDF("u", "gu"), side.toDF("v", "gv"), "gu", "gv", 0.002)
-    return pairs.where("u < v").select("u", "v", F.round("jsd", 4).alias("jsd"))
+    pairs, _ = divjoin(side.toDF("u", "gu"), side.toDF("v", "gv"), "gu", "gv", 0.002, on=F.col("u") < F.col("v"), observed=False)
+    return pairs.select("u", "v", _rounded(F.col("jsd"), 4).alias("jsd"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

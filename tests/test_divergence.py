@@ -95,3 +95,58 @@ def test_quadrature_resolves_scales(spark):
     assert math.isclose(_exact(a, b), want, abs_tol=1e-5)
     df = spark.createDataFrame([(_text(a), _text(b))], "a string, b string").select(D.jsd(D.parse_gmm(F.col("a")), D.parse_gmm(F.col("b"))).alias("j"))
     assert math.isclose(df.first().j, want, abs_tol=1e-4)
+
+
+def _pairs_within(a, b, tolerance):
+    return sorted((i, j) for (i, x), (j, y) in itertools.product(enumerate(a), enumerate(b)) if _exact(x, y) <= tolerance)
+
+
+def _normals(n, seed):
+    draw = random.Random(seed)
+    return [[(1.0, draw.gauss(50, 6) * scale, draw.gauss(49, 8) * scale)] for scale in (1e-6, 1.0, 1.0, 1e5) for _ in range(n)]
+
+
+@pytest.mark.parametrize("tolerance", [0.0005, 0.002, 0.005])
+def test_near_normals_join_without_python(spark, monkeypatch, tolerance):
+    monkeypatch.setattr(V, "BLOCK", 7)
+    a, b = _normals(40, 8), _normals(30, 9) + _normals(40, 8)[::3] * 2
+    left, right = (_side(spark, [*((i, i % 2, _text(x)) for i, x in enumerate(v)), (900, 0, None), (901, 0, "{}")], key, name) for v, key, name in ((a, "u", "x"), (b, "v", "y")))
+    want = _pairs_within(a, b, tolerance)
+    pairs, seen = V.divjoin(left, right.drop("k"), "x", "y", tolerance)
+    got = pairs.select("u", "v", "jsd").collect()
+    assert sorted((r.u, r.v) for r in got) == want
+    assert all(math.isclose(r.jsd, _exact(a[r.u], b[r.v]), abs_tol=1e-12) for r in got)
+    assert seen.get["metPairs"] == seen.get["prunedMean"] + seen.get["prunedVariance"] + seen.get["fullJSD"] and seen.get["resultCount"] == len(want)
+    plan = pairs._jdf.queryExecution().toString()
+    assert not any(n in plan for n in ("ArrowEvalPython", "NestedLoop", "Cartesian"))
+    keyed, none = V.divjoin(left, right, "x", "y", tolerance, keys=["k"], on=F.col("u") < F.col("v"), observed=False)
+    assert none is None and sorted((r.u, r.v) for r in keyed.collect()) == [(i, j) for i, j in want if i % 2 == j % 2 and i < j]
+
+
+def test_near_normals_beside_mixtures(spark):
+    a = _normals(10, 4) + [[(0.5, m, s), (0.5, m + s / 50, s)] for [(_, m, s)] in _normals(10, 4)] + [[(1.0, 50.0, 1e-120)]] * 2
+    sides = [_side(spark, [*((i, 0, _text(x)) for i, x in enumerate(a)), (800, 0, _text([(1.0, 0.0, 1.0)], 2)), (900, 0, None)], key, name).drop("k") for key, name in (("u", "x"), ("v", "y"))]
+    pairs, seen = V.divjoin(*sides, "x", "y", 0.002)
+    assert sorted((r.u, r.v) for r in pairs.collect()) == sorted([*_pairs_within(a, a, 0.002), (800, 800)])
+    assert seen.get["metPairs"] == seen.get["prunedDim"] + seen.get["prunedMean"] + seen.get["prunedVariance"] + seen.get["fullJSD"]
+
+
+def test_curve_of_normals():
+    """Beyond the box no pair is within the tolerance; within it the divergence grows both ways, as the box's sides suppose."""
+    assert V._curve(0.0) is None and V._curve(0.3) is None
+    for tolerance in (1e-5, 0.002):
+        top, high, _ = V._curve(tolerance)
+        at = np.array([(p, q) for p in np.geomspace(1e-3, 1e6, 60) for q in np.geomspace(1e-3, 1e4, 60)])
+        jsd = V._normal_jsd(at[:, 0] * top, np.minimum(at[:, 1] * high, 400))
+        assert (jsd[(at > 1).any(1)] > tolerance).all()
+        b = -math.log1p(-2 * tolerance)
+        steps = np.linspace(0, 1, 30)
+        grid = V._normal_jsd(*(v.ravel() for v in np.meshgrid(steps * 8 * b, steps * math.acosh(math.exp(2 * b)) ** 2, indexing="ij"))).reshape(30, 30)
+        assert (np.diff(grid, axis=0) > 0).all() and (np.diff(grid, axis=1) > 0).all()
+
+
+def test_rounded_as_round_does(spark):
+    from quillon.plans.catalog import _rounded
+
+    x = spark.range(40_001).select((F.col("id") / 20_000_000.0).alias("x")).unionByName(spark.range(400).select((F.col("id") / 20_000.0).alias("x")))
+    assert x.where(~_rounded(F.col("x"), 4).eqNullSafe(F.round("x", 4))).count() == 0
