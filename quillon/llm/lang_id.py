@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import give_back
+from .storage import give_back, lean, small_batches
 from .words import flat_text, mix, row_chunks
 
 DIM, GRAMS, CENTROIDS, STEPS = 4096, (2, 3, 4), 4, 12
@@ -30,6 +30,8 @@ SAMPLE = 1000
 MARGIN, QUANTILE, ROWS = 0.75, 0.01, 100
 #: Classes of size (half powers of two) and steps of cosine that training texts are counted by.
 SIZES, FINE = 2 * DIM.bit_length(), 1000
+#: Rows and bytes of text that are counted at once: DIM numbers a row, some ten numbers a byte.
+CHUNK_ROWS, CHUNK_BYTES = 128, 1 << 18
 _CLASS = np.arange(256, dtype=np.uint64)
 _CLASS[:128] = 32
 _CLASS[97:123] = np.arange(97, 123)
@@ -140,7 +142,7 @@ def _seen(rows: DataFrame, model: Model) -> dict[str, np.ndarray]:
         total = {name: np.zeros(SIZES * FINE, np.int64) for name in columns}
         for batch in batches:
             data, offsets = flat_text(batch.column(0))
-            for a, b in row_chunks(offsets, rows=512):
+            for a, b in row_chunks(offsets, CHUNK_BYTES, CHUNK_ROWS):
                 cosine, size = _cosines(counts(data, offsets[a : b + 1]), m)
                 lang, ok = np.array(batch.column(1).slice(a, b - a).to_pylist(), object), _lettered(batch.column(0).slice(a, b - a))
                 for name, mine in columns.items():
@@ -153,8 +155,10 @@ def _seen(rows: DataFrame, model: Model) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "at", "n"])
 
     out = {name: np.zeros((SIZES, FINE), np.int64) for name in model.languages}
-    parts = rows.select("text", "lang").mapInArrow(work, "lang string, at int, n long")
-    for r in parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():  # at most languages x SIZES x FINE rows
+    parts = rows.select("text", "lang").mapInArrow(lean(work), "lang string, at int, n long")
+    with small_batches(rows.sparkSession):
+        found = parts.groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()  # at most languages x SIZES x FINE rows
+    for r in found:
         out[r.lang][r.at // FINE, r.at % FINE] = r.n
     return out
 
@@ -176,12 +180,13 @@ def fit(docs: DataFrame) -> Model | None:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
-            for a, b in row_chunks(offsets, rows=512):
+            for a, b in row_chunks(offsets, CHUNK_BYTES, CHUNK_ROWS):
                 found = counts(data, offsets[a : b + 1])
                 spots = [np.flatnonzero(r) for r in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([s.astype(np.uint16).tobytes() for s in spots], pa.binary()), pa.array([r[s].astype(np.float32).tobytes() for r, s in zip(found, spots, strict=True)], pa.binary())], names=["doc_id", "lang", "spots", "grams"])
 
-    table = picked.select("doc_id", "text", "lang").mapInArrow(work, "doc_id long, lang string, spots binary, grams binary").orderBy("doc_id", "lang", "grams").toArrow()
+    with small_batches(docs.sparkSession):
+        table = picked.select("doc_id", "text", "lang").mapInArrow(lean(work), "doc_id long, lang string, spots binary, grams binary").orderBy("doc_id", "lang", "grams").toArrow()
     lang = np.array(table.column("lang").to_pylist(), object)
     spots, grams = _views(table.column("spots"), np.uint16), _views(table.column("grams"), np.float32)
     if not any(len(s) for s in spots):
@@ -222,7 +227,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         m = sent.value
         for batch in batches:
             data, offsets = flat_text(batch.column(1))
-            for a, b in row_chunks(offsets, rows=512):
+            for a, b in row_chunks(offsets, CHUNK_BYTES, CHUNK_ROWS):
                 lettered = _lettered(batch.column(1).slice(a, b - a))
                 if m is None:
                     lettered[:] = False
@@ -235,7 +240,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 names = [m.languages[k] if t else "und" for k, t in zip(best, lettered, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import parts, stored
+from .storage import lean, lean_group, parts, stored
 from .words import MIX, Words, flat_text, mix, row_chunks, shingle_sets
 
 REGISTERS, BASE, RATE, TOP = 127, 1.001, 20.0, 65535
@@ -106,7 +106,7 @@ def _sketched(docs: DataFrame, k: int, lower: bool) -> DataFrame:
                 digests = [hashlib.blake2b(value[i:j].tobytes(), digest_size=16).digest() if j > i else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "n_shingles", "digest", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, digest binary, regs binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(work), "doc_id long, n_shingles long, digest binary, regs binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _banded(classes: DataFrame) -> DataFrame:
             key = mix((used * MIX[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + MIX[100 : 100 + BANDS]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))], names=["bucket", "rep"])
 
-    return classes.select("rep", "regs").mapInArrow(work, "bucket long, rep long")
+    return classes.select("rep", "regs").mapInArrow(lean(work), "bucket long, rep long")
 
 
 def _far(num: int, den: int) -> float:
@@ -140,7 +140,7 @@ def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1)], names=["a", "b"]).filter(pa.array(ok))
 
     fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    return pairs.where(fits).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
+    return pairs.where(fits).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lean(work), "a long, b long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -162,7 +162,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
     mine = sets.select("rep", "elements")
     both = pairs.join(mine.toDF("a", "xs"), "a").join(mine.toDF("b", "ys"), "b")
-    return both.select("a", "b", "xs", "ys").mapInArrow(work, "u long, v long")
+    return both.select("a", "b", "xs", "ys").mapInArrow(lean(work), "u long, v long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
@@ -177,7 +177,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, lower: bool) -> DataFrame:
 
     ids = wanted.select(F.col("rep").alias("doc_id"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(work, "rep long, elements binary")
+    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(lean(work), "rep long, elements binary")
 
 
 def _forest(num: int, den: int):
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 4, den: int =
         dealt = dealt.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("whole", "key", "rep", "label", "block", F.least("block", "against").alias("low"), F.greatest("block", "against").alias("high"))
         dealt = dealt.join(more, "rep").select("whole", "key", "low", "high", "block", "rep", "label", "regs", "elements")
-        found = dealt.groupBy("whole", "key", "low", "high").applyInArrow(_forest(num, den), "u long, v long")
+        found = dealt.groupBy("whole", "key", "low", "high").applyInArrow(lean_group(_forest(num, den)), "u long, v long")
         labels = components(links.unionByName(stored(found, "links")))
     named = classes.select("digest", "rep").join(labels.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     rows = rows.select("doc_id", "n_shingles", "digest")

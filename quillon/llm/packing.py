@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import encoder
-from .storage import stored
+from .storage import lean, stored
 
 #: Lengths over capacity / LARGE are large. Number of groups and share of the capacity that configurations leave as a gap, each tried.
 LARGE, GROUPINGS, ROUNDS = 3, ((32, 1 / 8), (32, 5 / 32), (64, 1 / 8), (64, 5 / 32), (64, 0), (128, 0)), 400
@@ -252,7 +252,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     rows in, none out. Other columns are not looked at.
     """
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), kinds)
+    pieces = docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, capacity, end_id, with_ids), vocabularies=True), kinds)
     pieces = stored(pieces if with_ids else pieces.drop("ids"), "pieces")
     names = pieces.columns
     short = pieces.where(F.col("length") < capacity)
@@ -282,4 +282,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     full = pieces.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return ranked.mapInArrow(work, schema).unionByName(full)
+    return ranked.mapInArrow(lean(work, vocabularies=True), schema).unionByName(full)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import lean, lean_cogroup, lean_group, stored
 from .words import Words, flat_text, mix, row_chunks
 
 ANCHOR = 6
@@ -266,7 +266,7 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
     """(doc_id, stamp, places): per row of docs with any, the starts of its windows whose words also start in a document with a smaller doc_id. stamp is xxhash64(text)."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("stamp"))
-    anchors = rows.select("doc_id", "text").mapInArrow(_anchor_rows(size), "anchor long, doc_id long")
+    anchors = rows.select("doc_id", "text").mapInArrow(lean(_anchor_rows(size)), "anchor long, doc_id long")
     groups = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     recurring = stored(groups.where("low < high").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     schema = "anchor long, doc_id long, stamp long, place int, words binary"
@@ -274,23 +274,23 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
         table = recurring.toArrow()
         value, hot = table.column("anchor").to_numpy(), table.column("hot").to_numpy()
         order = np.argsort(value)
-        segments = rows.mapInArrow(_segment_rows(size, spark.sparkContext.broadcast((value[order], hot[order].astype(bool)))), schema)
+        segments = rows.mapInArrow(lean(_segment_rows(size, spark.sparkContext.broadcast((value[order], hot[order].astype(bool))))), schema)
     else:
         held = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hots"))
-        segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors", "hots").mapInArrow(_segment_rows(size, None), schema)
+        segments = rows.join(held, "doc_id").select("doc_id", "text", "stamp", "anchors", "hots").mapInArrow(lean(_segment_rows(size, None)), schema)
     segments = stored(segments, "segments")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-segments.count() // SHARD_SEGMENTS))))
     # One exchange, by shard, serves both groupings.
-    merged = segments.select("anchor", "words", "doc_id").mapInArrow(_combined, "anchor long, words binary, low long, high long")
+    merged = segments.select("anchor", "words", "doc_id").mapInArrow(lean(_combined), "anchor long, words binary, low long, high long")
     distinct = merged.withColumn("shard", shard).repartition("shard").groupBy("shard", "anchor", "words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    confirmed = distinct.groupBy("shard").applyInArrow(_confirmed(size), "shard long, anchor long, words binary, firsts array<bigint>")
+    confirmed = distinct.groupBy("shard").applyInArrow(lean_group(_confirmed(size)), "shard long, anchor long, words binary, firsts array<bigint>")
     phrases = stored(confirmed, "phrases")
     matter = stored(phrases.groupBy("anchor").agg(F.min(F.array_min("firsts")).alias("first")), "confirmed")
     if matter.count() <= BROADCAST_ANCHORS:
         table = matter.toArrow()
         value, first = table.column("anchor").to_numpy(), table.column("first").to_numpy()
         order = np.argsort(value)
-        streams = segments.mapInArrow(_matching(spark.sparkContext.broadcast((value[order], first[order]))), schema)
+        streams = segments.mapInArrow(lean(_matching(spark.sparkContext.broadcast((value[order], first[order])))), schema)
     else:
         streams = segments.join(matter, "anchor").where("doc_id > first").drop("first")
     streams = streams.withColumn("shard", shard).drop("anchor")
@@ -298,7 +298,7 @@ def repeated_places(docs: DataFrame, size: int = 13) -> DataFrame:
     salts = F.coalesce("salts", F.lit(1))
     streams = streams.join(crowded, "shard", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "place"), salts).cast("int")).select("shard", "salt", "doc_id", "stamp", "place", "words")
     keys = phrases.join(crowded, "shard", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shard", "salt", "words", "firsts")
-    hits = streams.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInArrow(_located(size), "doc_id long, stamp long, places array<int>")
+    hits = streams.groupBy("shard", "salt").cogroup(keys.groupBy("shard", "salt")).applyInArrow(lean_cogroup(_located(size)), "doc_id long, stamp long, places array<int>")
     return hits.groupBy("doc_id", "stamp").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"))
 
 
@@ -349,4 +349,4 @@ def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
             text = pa.array(kept, pa.large_binary()).cast(pa.large_string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), text.cast(pa.string())], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    return both.mapInArrow(work, f"{kinds}, n_words long, n_removed long, kept_text string")
+    return both.mapInArrow(lean(work), f"{kinds}, n_words long, n_removed long, kept_text string")

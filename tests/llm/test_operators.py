@@ -597,3 +597,27 @@ def test_pipeline(spark):
             assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
         assert sum(r.length for r in pieces[i]) == len(ids)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_workers_give_back_what_stages_leave():
+    """A worker serves stage after stage: vocabularies of one stage don't stay in the memory of the next."""
+    from public_tokenizers import path
+
+    from quillon.llm import byte_bpe, storage
+
+    byte_bpe.encoder(path("byte_bpe_50k.json"), False)
+    assert list(storage.lean(lambda batches: batches, vocabularies=True)(iter([1, 2]))) == [1, 2]
+    assert byte_bpe.encoder.cache_info().currsize > 0
+    assert list(storage.lean(lambda batches: batches)(iter([3]))) == [3]
+    assert byte_bpe.encoder.cache_info().currsize == 0
+
+
+def test_intermediate_tables_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from quillon.llm import storage
+
+    made = storage.stored(spark.range(0, 1_500_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("x")), "groups")
+    files = [f.removeprefix("file://") for f in made.inputFiles()]
+    assert made.count() == 1_500_000 and sum(pq.ParquetFile(f).metadata.num_row_groups for f in files) > 3
